@@ -12,6 +12,7 @@ from .exact import exact_groups
 from .mixing import mix_sources
 from .near import near_groups
 from .store import Stash
+from .substring import remove_repeats
 from .toxicity import learn, toxicity_scores
 
 
@@ -24,6 +25,10 @@ def held_out(parts: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op4"), k=13)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
+    found = [op4_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
