@@ -11,6 +11,7 @@ from .decontaminate import find_leaks
 from .exact import exact_groups
 from .mixing import mix_sources
 from .near import near_groups
+from .scoring import held_out, lm_scores
 from .store import Stash
 from .substring import remove_repeats
 from .toxicity import learn, toxicity_scores
@@ -20,9 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(parts: int):
-    """Whether crc32 of the id as text leaves 1 over `parts`; a null id is not held out."""
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), Stash(spark, "op1"), parts=5)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"), fold=(3, 1), train_rows=3000)
     scored = toxicity_scores(docs, model)
-    return scored.select("doc_id", held_out(3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
+    found = [op1_lm_scores, op4_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
