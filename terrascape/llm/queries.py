@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .decontaminate import find_leaks
 from .exact import exact_groups
 from .mixing import mix_sources
 from .near import near_groups
+from .personal import find_personal
 from .scoring import held_out, lm_scores
 from .store import Stash
 from .substring import remove_repeats
+from .tokens import read_vocabulary, token_counts
 from .toxicity import learn, toxicity_scores
 
 
@@ -25,10 +28,32 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), Stash(spark, "op1"), parts=5)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), Stash(spark, "op2"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), fold=(3, 1), train_rows=3000)
+    scored = quality.quality_scores(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op4"), k=13)
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary that op5 counts with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), *read_vocabulary(vocabulary_path()))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +78,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scores, op4_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
+    found = [op1_lm_scores, op2_personal_data, op3_quality, op4_substring_dedup, op5_token_counts, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

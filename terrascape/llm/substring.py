@@ -19,7 +19,7 @@ FINGERPRINT, MEMTABLE = 6, 1 << 20
 #: Text bytes of one bucket's windows and of one chunk of documents.
 BUCKET_BYTES = 12 << 20
 
-_ENTRY = "bucket int, run boolean, fps binary, ranks binary, ids binary"
+ENTRY = "bucket int, run boolean, fps binary, ranks binary, ids binary"
 
 
 def pack(fps: np.ndarray) -> bytes:
@@ -33,7 +33,7 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _cut(h: np.ndarray) -> np.ndarray:
+def cut(h: np.ndarray) -> np.ndarray:
     return h & np.uint64((1 << 64) - (1 << 8 * (8 - FINGERPRINT)))
 
 
@@ -42,14 +42,14 @@ def windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     data, offsets = buffers(texts)
     starts, ends, rows = words(data, offsets)
     fps, at = ngrams(word_hashes(data, starts, ends), rows, k)
-    return data, starts, ends, rows, _cut(fps), at
+    return data, starts, ends, rows, cut(fps), at
 
 
 def _bucket(fps: np.ndarray, buckets: int) -> np.ndarray:
     return ((fps >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Iterator[pa.RecordBatch]:
+def entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Iterator[pa.RecordBatch]:
     """A sorted run, cut by bucket. ids of one memtable stand as ranks in the list of its ids."""
     if not len(fps):
         return
@@ -69,7 +69,7 @@ def _entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "run", "fps", "ranks", "ids"])
 
 
-def _read(table: pa.Table, run: bool) -> tuple[np.ndarray, np.ndarray]:
+def read_entries(table: pa.Table, run: bool) -> tuple[np.ndarray, np.ndarray]:
     fps, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in table.filter(pa.array([x == run for x in table.column("run").to_pylist()], pa.bool_())).to_pylist():
         f, own = unpack(r["fps"]), np.cumsum(np.frombuffer(r["ids"], np.int64))
@@ -98,12 +98,12 @@ class WindowIndex:
                     held.append((fps, part.column("doc_id").to_numpy()[rows[at]]))
                     count += len(fps)
                     if count >= MEMTABLE:
-                        yield from _entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                        yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
                         held, count = [], 0
             if held:
-                yield from _entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
 
-        return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ENTRY)
+        return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
 
     def add(self, docs: DataFrame, flush: bool = True) -> DataFrame:
         """Merge-joins a batch, whose ids follow those of earlier batches, with all runs: chunk, fps, first (packed arrays).
@@ -117,8 +117,8 @@ class WindowIndex:
             history = history.unionByName(r)
 
         def merge(table: pa.Table) -> pa.Table:
-            new, new_ids = _read(table, False)
-            old, old_ids = _read(table, True)
+            new, new_ids = read_entries(table, False)
+            old, old_ids = read_entries(table, True)
             bucket = table.column("bucket")[0].as_py()
             del table
             fps, ids = np.concatenate([old, new]), np.concatenate([old_ids, new_ids])
@@ -132,13 +132,13 @@ class WindowIndex:
             out = [(bucket, False, None, None, None, *h) for h in _hits(fps[hit], ids[hit], least[hit], chunks)]
             if flush:
                 own = np.flatnonzero(head & fresh)
-                for b in _entries(fps[own], ids[own], buckets, True):
+                for b in entries(fps[own], ids[own], buckets, True):
                     out += [(*r.values(), None, None, None) for r in b.to_pylist()]
             columns = list(zip(*out, strict=True)) or [()] * 8
             kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
             return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "run", "fps", "ranks", "ids", "chunk", "hits", "first"])
 
-        found = self.stash.keep(history.groupBy("bucket").applyInArrow(merge, f"{_ENTRY}, chunk int, hits binary, first binary"), "merged")
+        found = self.stash.keep(history.groupBy("bucket").applyInArrow(merge, f"{ENTRY}, chunk int, hits binary, first binary"), "merged")
         if flush:
             self.runs.append(found.where("run").select("bucket", "run", "fps", "ranks", "ids"))
             if len(self.runs) >= self.fanout:
@@ -155,9 +155,9 @@ class WindowIndex:
             both = both.unionByName(r)
 
         def merge(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(list(_entries(*_read(table, True), buckets, True)))
+            return pa.Table.from_batches(list(entries(*read_entries(table, True), buckets, True)))
 
-        self.runs = [self.stash.keep(both.groupBy("bucket").applyInArrow(merge, _ENTRY), "run")]
+        self.runs = [self.stash.keep(both.groupBy("bucket").applyInArrow(merge, ENTRY), "run")]
 
 
 def prime_from(n: int) -> int:
