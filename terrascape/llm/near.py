@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact import BitmapFilter
 from .store import Stash
+from .substring import BUCKET_BYTES, ENTRY, MEMTABLE, cut, entries, read_entries
 from .textkit import buffers, mix, ngrams, slices, word_hashes, words
 
 #: Coordinates of a signature, and how many of them two signatures must share. A pair at similarity 0.85 shares fewer than
@@ -67,35 +68,74 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """cls, text -> cls, grams (the sorted set as bytes), without rows whose text is not of that class."""
+    """cls, text -> cls, key (64 bits of it), n, grams (the sorted set as bytes), without rows whose text is not of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                grams = [s.tobytes() for s in shingle_sets(part.column("text"), k)]
-                own = pa.array([xxhash.xxh3_128_digest(g) == c.as_py() for g, c in zip(grams, part.column("cls"), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(grams, pa.binary())], ["cls", "grams"]).filter(own)
+                sets = shingle_sets(part.column("text"), k)
+                classes = part.column("cls").to_pylist()
+                own = pa.array([xxhash.xxh3_128_digest(g.tobytes()) == c for g, c in zip(sets, classes, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([
+                    part.column("cls"), pa.array([int.from_bytes(c[:8], "big", signed=True) for c in classes], pa.int64()),
+                    pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary()),
+                ], ["cls", "key", "n", "grams"]).filter(own)
+
+    return docs.select("cls", "text").mapInArrow(run, "cls binary, key long, n long, grams binary")
+
+
+def shared_counts(sets: DataFrame, stash: Stash) -> DataFrame:
+    """cls, n, s, fame of each class: s bounds from above how many of its n shingles stand in another class too; fame is the mean number of classes of a shingle.
+
+    Packed runs of shingle hashes meet in buckets by hash; only counts go back.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total * 8 // BUCKET_BYTES))
 
-    return docs.select("cls", "text").mapInArrow(run, "cls binary, grams binary")
+    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for key, grams in zip(batch.column("key").to_pylist(), batch.column("grams"), strict=True):
+                grams = np.frombuffer(grams.as_buffer(), np.uint64)
+                held.append((cut(grams), np.full(len(grams), key, np.int64)))
+                count += len(grams)
+                if count >= MEMTABLE:
+                    yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                    held, count = [], 0
+        if held:
+            yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+
+    def tally(table: pa.Table) -> pa.Table:
+        fps, keys = read_entries(table, False)
+        order = np.argsort(fps, kind="stable")
+        fps, keys = fps[order], keys[order]
+        head = np.r_[True, fps[1:] != fps[:-1]]
+        group = np.cumsum(head) - 1
+        size = np.bincount(group)[group]
+        shared = size > 1
+        keys, place = np.unique(keys[shared], return_inverse=True)
+        return pa.table([pa.array(keys, pa.int64()), pa.array(np.bincount(place, minlength=len(keys)), pa.int64()), pa.array(np.bincount(place, size[shared], len(keys)), pa.float64())], ["key", "s", "fame"])
+
+    counted = sets.select("key", "grams").mapInArrow(flush, ENTRY).groupBy("bucket").applyInArrow(tally, "key long, s long, fame double")
+    counted = counted.groupBy("key").agg(F.sum("s").alias("s"), F.sum("fame").alias("fame"))
+    out = sets.select("cls", "key", "n").distinct().join(counted, "key", "left")
+    return stash.keep(out.select("cls", "n", F.least("n", F.coalesce("s", F.lit(0))).alias("s"), F.coalesce(F.col("fame") / F.col("n"), F.lit(0.0)).alias("fame")), "shared")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of those pairs with 100 * intersection >= percent * union, on full sets."""
+    """a, b, both, linked of pairs a, b: the size of the full sets' intersection, and whether 100 * both >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, linked = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * both[-1] >= percent * (len(x) + len(y) - both[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     x, y = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, both long, linked boolean")
 
 
 def components(links: DataFrame, stash: Stash, most_rounds: int = 60) -> DataFrame:
@@ -119,17 +159,34 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
 
     Documents are posted under each coordinate-value pair. Values of one class only can't collide and are skipped; a pair
     shares at least MATCHES coordinates only if it collides within both prefixes: the n - MATCHES + 1 rarest of a
-    class's n shared values. In each posting list the members are paired with two pivots, and with what is left of other
-    components afterwards, so a list of copies makes few pairs and no link is lost.
+    class's n shared values. A pair's common shingles are at most the s of either side, so most pairs within a large group
+    of loose copies can't reach the threshold, and members that fit no partner leave their lists. In each list the members are paired with two
+    pivots, one of them the member with the most widely shared shingles, and then only with what is left of other components:
+    a list of copies makes few pairs and no link is lost.
     """
     posted = nodes.select("cls", F.posexplode("sig").alias("at", "value"))
-    counts = posted.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = posted.join(counts, ["at", "value"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "at", "value"))).alias("shared"))
+    counts = posted.groupBy("at", "value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    hot = posted.join(counts, ["at", "value"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "at", "value"))).alias("shared"))
     hot = hot.where(F.size("shared") >= MATCHES).select("cls", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("p"))
     lists = stash.keep(hot.select((F.col("p.at").cast("long") * (1 << 32) + F.col("p.value")).alias("list"), "cls"), "postings")
-    pivots = lists.groupBy("list").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
-    starred = lists.join(pivots, "list").select("cls", F.explode(F.array("low", "high")).alias("pivot")).where("cls != pivot")
-    starred = starred.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
+    texts = BitmapFilter(wanted, stash).candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), "text"))
+    sets = stash.keep(full_sets(texts.join(wanted.hint("merge"), "digest"), k), "sets")
+
+    def reach(n: Column, m: Column, most: Column) -> Column:
+        """Whether sets of n and m shingles with at most `most` in common can be linked."""
+        return 100 * most >= percent * (n + m - most)
+
+    lists = lists.join(shared_counts(sets, stash), "cls")
+    # the smallest partner that a member can have is the list's smallest, or percent of its own size
+    least = lists.groupBy("list").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    lists = stash.keep(lists.join(least, "list").where(reach(F.col("n"), partner, F.least(F.col("s"), partner))).drop("least"), "fit")
+    pivots = lists.groupBy("list").agg(F.min(F.struct("cls", "n", "s")).alias("low"), F.max(F.struct("fame", "cls", "n", "s")).alias("high"))
+    pivots = pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s").alias("high"))
+    lists = stash.keep(lists.drop("fame").join(pivots, "list"), "live")
+    starred = lists.select("cls", "n", "s", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s")))
+    starred = starred.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
     sigs = nodes.select("cls", "sig")
 
     def collide(pairs: DataFrame) -> DataFrame:
@@ -137,22 +194,25 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
         same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda total, one: total + one)
         return pairs.join(x, "a").join(y, "b").where(same >= MATCHES).select("a", "b")
 
-    wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
-    texts = BitmapFilter(wanted, stash).candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), "text"))
-    sets = stash.keep(full_sets(texts.join(wanted, "digest"), k), "sets")
-    starred = stash.keep(collide(starred), "starred")
-    links = stash.keep(confirm(starred, sets, percent), "links")
+    measured = stash.keep(confirm(stash.keep(collide(starred), "starred"), sets, percent), "measured")
+    links = measured.where("linked").select("a", "b")
     roots = components(links, stash)
-    labelled = stash.keep(lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "labelled")
-    sizes = labelled.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_lists = sizes.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("main")).where("roots > 1")
-    members = labelled.join(open_lists.select("list", "main"), "list")
-    strays = members.where("root != main").select("list", F.col("cls").alias("u"), F.col("root").alias("ur"))
-    rest = strays.join(members.select("list", F.col("cls").alias("v"), F.col("root").alias("vr"), "main"), "list")
-    rest = rest.where((F.col("ur") != F.col("vr")) & ((F.col("vr") == F.col("main")) | (F.col("u") < F.col("v"))))
-    rest = rest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest = stash.keep(collide(rest.join(starred, ["a", "b"], "left_anti")), "rest")
-    more = stash.keep(confirm(rest, sets, percent), "more")
+    lists = lists.select("list", "cls", "n", "s", F.col("high.cls").alias("hub"))
+    lists = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    lists = lists.withColumn("a", F.least("cls", "hub")).withColumn("b", F.greatest("cls", "hub")).join(measured.select("a", "b", "both"), ["a", "b"], "left")
+    lists = stash.keep(lists.select("list", "cls", "n", "s", "root", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.col("both")).alias("i")), "labelled")
+    sizes = lists.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
+    open_lists = sizes.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "members").alias("main")).where("roots > 1")
+    members = lists.join(open_lists.select("list", "main"), "list")
+    u, v = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in "uv")
+    # common shingles: those within the hub's set, and those beyond it
+    within = F.least("u_i", "v_i") + F.least(F.col("u_s") - F.col("u_i"), F.col("v_s") - F.col("v_i"))
+    most = F.least("u_s", "v_s", F.when(F.col("u_i").isNotNull() & F.col("v_i").isNotNull(), within))
+    apart = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_cls") < F.col("v_cls")))
+    rest = u.where("u_root != u_main").join(v, (F.col("u_list") == F.col("v_list")) & apart & reach(F.col("u_n"), F.col("v_n"), most))
+    rest = rest.select(F.least("u_cls", "v_cls").alias("a"), F.greatest("u_cls", "v_cls").alias("b")).distinct()
+    rest = stash.keep(collide(rest.join(measured, ["a", "b"], "left_anti")), "rest")
+    more = stash.keep(confirm(rest, sets, percent).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), stash)
     return roots.withColumnRenamed("node", "cls")
