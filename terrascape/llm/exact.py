@@ -117,11 +117,11 @@ def exact_groups(docs: DataFrame, stash: Stash, keep: str = "max", batches: int
         index.flush(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b).select("digest", "doc_id"))
     shared = stash.keep(index.compact().where("n > 1"), "shared")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), digest_of(F.col("text")).alias("digest"))
-    copies = BitmapFilter(shared, stash).candidates(texts).join(shared, "digest")
+    copies = BitmapFilter(shared, stash).candidates(texts).join(shared.hint("merge"), "digest")
     portion = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int")
     stays = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("_text").alias("_kept"), F.max("n").alias("_n"))
     stays = stays.select("digest", "_kept", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.lit(salt_rows)) - 1).cast("int"))).alias("_portion"))
-    wrong = stash.keep(copies.withColumn("_portion", portion).join(stays, ["digest", "_portion"]).where(F.col("_text") != F.col("_kept")).select("digest").distinct(), "collisions")
+    wrong = stash.keep(copies.withColumn("_portion", portion).join(stays.hint("merge"), ["digest", "_portion"]).where(F.col("_text") != F.col("_kept")).select("digest").distinct(), "collisions")
 
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     numbered = rows.join(shared, "digest", "left").withColumn("_same", F.coalesce(F.col("n"), F.lit(1)))
