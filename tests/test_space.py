@@ -1,0 +1,164 @@
+import json
+import random
+
+import pytest
+
+from terrascape.operators import clean, label, sift, subset
+from terrascape.operators.label import Performance
+from terrascape.plans.space import DEFAULT_STAGES, InstanceSpace, PythiaStage, Preprocessing, TraceStage, from_directory
+from terrascape.plans.stage import Stage, StageBuilder, StageResolutionError, StageRunner, StageRunningError
+from terrascape.sources import metadata, options
+
+
+def make(spark, rows, feats=2, algos=2):
+    cols = ["Instances", *[f"feature_{i}" for i in range(feats)], *[f"algo_{i}" for i in range(algos)]]
+    kinds = "Instances string, " + ", ".join(f"{c} double" for c in cols[1:])
+    df = spark.createDataFrame([(f"i{k}", *r) for k, r in enumerate(rows)], kinds)
+    return metadata.from_dataframe(df.coalesce(1))
+
+
+def test_missing_rows_and_sparse_features(spark):
+    nan = float("nan")
+    t = make(spark, [(1.0, nan, 1.0, 2.0), (nan, nan, 1.0, 2.0), (3.0, nan, nan, nan), (4.0, 5.0, 1.0, nan)])
+    t = clean.drop_missing_rows(t)
+    assert sorted(r.instances for r in t.df.collect()) == ["i0", "i3"]
+    assert clean.drop_sparse_features(t).features == ("feature_0",)
+
+
+def test_labels(spark):
+    t = label.label(make(spark, [(0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 3.0, 2.0), (0.0, 0.0, None, 9.0), (0.0, 0.0, None, None)]), Performance(epsilon=2.0))
+    got = {r.instances: (r.p, r.n_good, r.beta) for r in t.df.collect()}
+    assert got == {"i0": (1, 2, True), "i1": (2, 1, False), "i2": (2, 0, False), "i3": (0, 0, False)}
+
+
+def test_one_algorithm(spark):
+    t = label.label(make(spark, [(0.0, 0.0, 1.0)], algos=1), Performance(epsilon=2.0))
+    assert t.df.first().y_best == 1.0
+
+
+def test_thinning_is_greedy(spark):
+    g = random.Random(4)
+    rows = [(g.random() * 2, g.random() * 2, g.random(), g.random()) for _ in range(60)]
+    t = label.label(make(spark, rows), Performance(epsilon=0.6))
+    for kind in subset.TYPES:
+        removed, near = set(), set()
+        for i, x in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                if i in removed:
+                    break
+                y = rows[j]
+                if ((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2) ** 0.5 <= 0.3:
+                    near.add(j)
+                    both = all(v <= 0.6 for v in (*x[2:], *y[2:]))
+                    close = ((x[2] - y[2]) ** 2 + (x[3] - y[3]) ** 2) ** 0.5 <= 0.3
+                    if {"Ftr": True, "Ftr&AP": close, "Ftr&Good": both, "Ftr&AP&Good": both and close}[kind]:
+                        removed.add(j)
+        got = {r.iid: r for r in subset.thin(t, 0.3, kind).collect()}
+        order = sorted(got)
+        assert {k for k, i in enumerate(order) if got[i].removed} == removed
+        assert {k for k, i in enumerate(order) if not got[i].dissimilar} == near
+    with pytest.raises(ValueError):
+        subset.close_pairs(t, 0.3, "Ftr&&Good")
+
+
+def test_subsets(spark):
+    t = make(spark, [(float(i), 0.0, 1.0, 1.0) for i in range(21)])
+    assert subset.fractional(t, 0.5).df.count() == 11
+    rows = spark.createDataFrame([(1,), (21,), (0,), (99,), (21,)], "row long")
+    assert sorted(r.instances for r in subset.by_index(t, rows).df.collect()) == ["i0", "i20"]
+
+
+def test_options(tmp_path):
+    o = options.from_dict({"perf": {"MaxPerf": True, "_": "note"}, "selvars": {"type": "Ftr"}, "pythia": {"UseLibSVM": True}})
+    assert o.perf.max_perf and o.selvars.selvars_type == "Ftr" and o.pythia.use_grid_search and o.sifted.k == 6
+    with pytest.raises(ValueError, match="defined twice"):
+        options.from_dict({"pilot": {"ntries": 3, "n_tries": 4}})
+    with pytest.raises(ValueError):
+        options.from_dict({"pilot": {"nope": 3}})
+    with pytest.raises(ValueError):
+        options.from_dict({"other": {}})
+    assert options.from_json(tmp_path / "none.json") is None
+    (tmp_path / "bad.json").write_text("{")
+    assert options.from_json(tmp_path / "bad.json") is None
+
+
+class A(Stage):
+    inputs, outputs = ("x",), ("y",)
+
+    def run(self, x):
+        return {"y": x + 1}
+
+
+class B(Stage):
+    inputs, outputs = ("y",), ("y", "z")
+
+    def run(self, y):
+        return {"y": y * 10, "z": y}
+
+
+class C(Stage):
+    inputs, outputs = ("y",), ("w",)
+
+    def run(self, y):
+        return {"w": y}
+
+
+def test_stages():
+    waves = StageBuilder().add_stage(C).add_stage(B).add_stage(A).resolve({"x"})
+    assert waves == [[A], [B], [C]]
+    r = StageRunner(waves, {"x": 1})
+    assert r.run_all()["w"] == 20
+    assert r.run_stage(A, x=4) == {"y": 5}
+    with pytest.raises(StageRunningError):
+        r.run_stage(C)
+    assert r.run_until_stage(B)["z"] == 5
+    with pytest.raises(StageResolutionError):
+        StageBuilder().add_stage(C).resolve({"x"})
+    with pytest.raises(ValueError):
+        StageBuilder().add_stage(A).add_stage(A)
+
+
+class Extra(Stage):
+    inputs, outputs = ("table", "factor"), ("doubled",)
+    after = (Preprocessing,)
+
+    def run(self, table, factor):
+        return {"doubled": factor * table.df.count()}
+
+
+def test_whole_analysis(spark, tmp_path):
+    g = random.Random(7)
+    rows = []
+    for _ in range(90):
+        f = [g.random() for _ in range(5)]
+        rows.append((*f, f[0] + 0.3 * g.random(), 1 - f[0] + 0.3 * g.random(), f[1] + 0.2 * g.random()))
+    header = "Instances,source," + ",".join(f"feature_{i}" for i in range(5)) + "," + ",".join(f"algo_{i}" for i in range(3))
+    (tmp_path / "metadata.csv").write_text(header + "\n" + "\n".join(f"i{k},s{k % 2}," + ",".join(map(str, r)) for k, r in enumerate(rows)) + "\n")
+    (tmp_path / "options.json").write_text(json.dumps({"perf": {"epsilon": 0.6}, "pilot": {"analytic": True}, "sifted": {"flag": False}}))
+    made = from_directory(spark, str(tmp_path))
+    space = InstanceSpace(made.metadata, made.options, [*DEFAULT_STAGES, Extra], {"factor": 2})
+    model = space.build()
+    assert model.doubled == 180 and model.projected.df.count() == 90
+    assert model.trace_summary.count() == 3 and model.z_edge.count() >= 3
+    assert all(0 <= r.purity <= 1 and r.area >= 0 for r in model.footprints.collect())
+    out = tmp_path / "out"
+    out.mkdir()
+    model.save_to_csv(out)
+    model.save_for_web(out)
+    model.save_graphs(out)
+    assert (out / "coordinates.csv").read_text().count("\n") == 91
+    assert (out / "color_table.csv").read_text().count("\n") == 257
+    assert model.save_zip("all", out).is_file()
+    with pytest.raises(ValueError):
+        model.save_to_csv(tmp_path / "missing")
+    assert space.runner.waves.index([Preprocessing]) == 0
+    assert any(PythiaStage in w for w in space.runner.waves) and space.runner.waves[-1] == [TraceStage] or TraceStage in space.runner.waves[-1]
+
+
+def test_too_few_features(spark):
+    with pytest.raises(sift.NotEnoughFeatureError):
+        sift.sift(make(spark, [(1.0, 2.0, 3.0)], feats=1))
+
+
+def test_csv_failures(spark, tmp_path):
+    assert metadata.from_csv(spark, str(tmp_path / "none.csv")) is None
