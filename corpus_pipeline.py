@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascape.llm.decontaminate import drop_leaked
-from terrascape.llm.exact import exact_groups
+from terrascape.llm.exact import digest, exact_groups
 from terrascape.llm.mixing import mix_sources
 from terrascape.llm.near import near_groups
 from terrascape.llm.store import Stash
@@ -27,12 +27,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the least doc_id stays."""
-    return _without(docs, exact_groups(docs, Stash(spark, "pipeline-exact"), keep="min"))
+    stash = Stash(spark, "pipeline-exact")
+    return _without(docs, exact_groups(docs, stash, keep="min").withColumnRenamed("text_sha256", "key"), digest(F.col("text")), stash)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the row with the least doc_id stays."""
-    return _without(docs, near_groups(docs, Stash(spark, "pipeline-near"), k=5, percent=80))
+    stash = Stash(spark, "pipeline-near")
+    return _without(docs, near_groups(docs, stash, k=5, percent=80).withColumnRenamed("text_key", "key"), F.xxhash64("text"), stash)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +47,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs, Stash(spark, "pipeline-mix")).where("taken > 0")
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose id the operator keeps. Ids that stay are never also dropped, so only dropped ids are joined."""
-    return docs.join(decided.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+def _without(docs: DataFrame, decided: DataFrame, key: Column, stash: Stash) -> DataFrame:
+    """Rows of docs that the operator keeps. decided: doc_id, key, kept, one row for each of docs.
+
+    Rows are told apart by id and key of the text. Of rows that repeat in both, of which some are kept and some not, one stays.
+    """
+    of = stash.keep(decided.groupBy("doc_id", "key").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("NOT all"), "decided")
+    columns = docs.columns
+    keyed = docs.withColumn("_pipeline_key", key)
+    same = lambda right: F.col("doc_id").eqNullSafe(right["_id"]) & F.col("_pipeline_key").eqNullSafe(right["_key"])
+    gone = of.where("NOT some").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    kept = keyed.join(gone.hint("merge"), same(gone), "left_anti")
+    repeats = of.where("some").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    if not repeats.isEmpty():
+        once = kept.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", "_pipeline_key"])
+        kept = kept.join(repeats, same(repeats), "left_anti").unionByName(once)
+    return kept.select(*columns)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,21 @@ from .store import Stash
 from .substring import BUCKET_BYTES, ENTRY, MEMTABLE, cut, entries, read_entries
 from .textkit import buffers, mix, ngrams, slices, word_hashes, words
 
-#: Coordinates of a signature, and how many of them two signatures must share. A pair at similarity 0.85 shares fewer than
-#: 27 of 48 with a probability below 1e-6.
-COORDINATES, MATCHES = 48, 27
+#: Coordinates of a signature, and how likely a pair at the threshold may be to share too few of them.
+COORDINATES, MISS = 48, 1e-6
 _RNG = np.random.default_rng(71)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2)
 _MULTIPLY = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_matches(percent: int) -> int:
+    """The most coordinates that can be asked for so that a pair of that similarity shares fewer with a probability of at most MISS; 27 of 48 at 85 percent."""
+    p, below, t = percent / 100, 0.0, 0
+    while below + (chance := comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)) <= MISS:
+        below, t = below + chance, t + 1
+    return max(1, t)
+
+
 def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct hashes of k words, A-Z in lower case; shorter texts: the whole sequence; none without words."""
     data, offsets = buffers(texts, lower=True)
@@ -52,19 +60,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128-bit hash of the whole set; null if empty), sig (null if empty)."""
+    """doc_id, text_key (hash of the text), n_shingles, cls (128-bit hash of the whole set; null if empty), sig (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
-                ], ["doc_id", "n_shingles", "cls", "sig"])
+                ], ["doc_id", "text_key", "n_shingles", "cls", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls binary, sig array<int>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -158,16 +166,17 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     """Roots of linked classes: cls, root. nodes: cls, doc_id (whose text stands for the class), sig.
 
     Documents are posted under each coordinate-value pair. Values of one class only can't collide and are skipped; a pair
-    shares at least MATCHES coordinates only if it collides within both prefixes: the n - MATCHES + 1 rarest of a
+    shares at least least_matches coordinates only if it collides within both prefixes: the n - least_matches + 1 rarest of a
     class's n shared values. A pair's common shingles are at most the s of either side, so most pairs within a large group
     of loose copies can't reach the threshold, and members that fit no partner leave their lists. In each list the members are paired with two
     pivots, one of them the member with the most widely shared shingles, and then only with what is left of other components:
     a list of copies makes few pairs and no link is lost.
     """
+    matches = least_matches(percent)
     posted = nodes.select("cls", F.posexplode("sig").alias("at", "value"))
     counts = posted.groupBy("at", "value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     hot = posted.join(counts, ["at", "value"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "at", "value"))).alias("shared"))
-    hot = hot.where(F.size("shared") >= MATCHES).select("cls", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("p"))
+    hot = hot.where(F.size("shared") >= matches).select("cls", F.explode(F.slice("shared", F.lit(1), F.size("shared") - matches + 1)).alias("p"))
     lists = stash.keep(hot.select((F.col("p.at").cast("long") * (1 << 32) + F.col("p.value")).alias("list"), "cls"), "postings")
     wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
     texts = BitmapFilter(wanted, stash).candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), "text"))
@@ -192,7 +201,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     def collide(pairs: DataFrame) -> DataFrame:
         x, y = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("cls").alias("b"), F.col("sig").alias("y"))
         same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda total, one: total + one)
-        return pairs.join(x, "a").join(y, "b").where(same >= MATCHES).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(same >= matches).select("a", "b")
 
     measured = stash.keep(confirm(stash.keep(collide(starred), "starred"), sets, percent), "measured")
     links = measured.where("linked").select("a", "b")
@@ -219,7 +228,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
 
 
 def near_groups(docs: DataFrame, stash: Stash, k: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs.
+    """doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text) of each row of docs.
 
     A row's set are its distinct k-word shingles, A-Z in lower case; with fewer words the whole sequence; without words or
     text it is empty and linked with nothing. Rows with equal sets are one class; classes are linked at
@@ -233,6 +242,6 @@ def near_groups(docs: DataFrame, stash: Stash, k: int = 5, percent: int = 85) ->
     of_class = nodes.select("cls", "doc_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = of_class.select("cls", "root").join(least, "root").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

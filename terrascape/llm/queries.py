@@ -74,7 +74,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), Stash(spark, "op10"))
+    return near_groups(table(spark, sf_dir, "documents"), Stash(spark, "op10")).drop("text_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
