@@ -162,6 +162,35 @@ def components(links: DataFrame, stash: Stash, most_rounds: int = 60) -> DataFra
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def reach(n: Column, m: Column, most: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles with at most `most` in common can be linked."""
+    return 100 * most >= percent * (n + m - most)
+
+
+def remaining(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b, each pair once: members of one list that belong to different components, one of them not to the list's main one, and that can still be linked.
+
+    lists: list, cls, n, s, root, i, j (common shingles with the list's two pivots, null if unknown). What two sets have in common is at most s of either, and at
+    most what they share within a pivot's set and beyond it. A pair meets in several lists; the first that both stand in gives it.
+    """
+    sizes = lists.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
+    open_lists = sizes.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "members").alias("main")).where("roots > 1")
+    members = lists.join(open_lists.select("list", "main"), "list")
+    stands = members.groupBy("cls").agg(F.sort_array(F.collect_set("list")).alias("lists"))  # at most COORDINATES
+    members = members.join(stands, "cls")
+    u, v = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in "uv")
+
+    def within(p: str) -> Column:
+        known = F.col(f"u_{p}").isNotNull() & F.col(f"v_{p}").isNotNull()
+        return F.when(known, F.least(f"u_{p}", f"v_{p}") + F.least(F.col("u_s") - F.col(f"u_{p}"), F.col("v_s") - F.col(f"v_{p}")))
+
+    most = F.least("u_s", "v_s", within("i"), within("j"))
+    apart = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_cls") < F.col("v_cls")))
+    first = F.element_at(F.array_intersect("u_lists", "v_lists"), 1) == F.col("u_list")
+    rest = u.where("u_root != u_main").join(v, (F.col("u_list") == F.col("v_list")) & apart & reach(F.col("u_n"), F.col("v_n"), most, percent) & first)
+    return rest.select(F.least("u_cls", "v_cls").alias("a"), F.greatest("u_cls", "v_cls").alias("b")).distinct()
+
+
 def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent: int) -> DataFrame:
     """Roots of linked classes: cls, root. nodes: cls, doc_id (whose text stands for the class), sig.
 
@@ -182,19 +211,15 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     texts = BitmapFilter(wanted, stash).candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), "text"))
     sets = stash.keep(full_sets(texts.join(wanted.hint("merge"), "digest"), k), "sets")
 
-    def reach(n: Column, m: Column, most: Column) -> Column:
-        """Whether sets of n and m shingles with at most `most` in common can be linked."""
-        return 100 * most >= percent * (n + m - most)
-
     lists = lists.join(shared_counts(sets, stash), "cls")
     # the smallest partner that a member can have is the list's smallest, or percent of its own size
     least = lists.groupBy("list").agg(F.min("n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    lists = stash.keep(lists.join(least, "list").where(reach(F.col("n"), partner, F.least(F.col("s"), partner))).drop("least"), "fit")
+    lists = stash.keep(lists.join(least, "list").where(reach(F.col("n"), partner, F.least(F.col("s"), partner), percent)).drop("least"), "fit")
     pivots = lists.groupBy("list").agg(F.min(F.struct("cls", "n", "s")).alias("low"), F.max(F.struct("fame", "cls", "n", "s")).alias("high"))
     pivots = pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s").alias("high"))
     lists = stash.keep(lists.drop("fame").join(pivots, "list"), "live")
-    starred = lists.select("cls", "n", "s", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s")))
+    starred = lists.select("cls", "n", "s", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s"), percent))
     starred = starred.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
     sigs = nodes.select("cls", "sig")
 
@@ -206,20 +231,14 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     measured = stash.keep(confirm(stash.keep(collide(starred), "starred"), sets, percent), "measured")
     links = measured.where("linked").select("a", "b")
     roots = components(links, stash)
-    lists = lists.select("list", "cls", "n", "s", F.col("high.cls").alias("hub"))
+    lists = lists.select("list", "cls", "n", "s", F.col("high.cls").alias("hub"), F.col("low.cls").alias("low"))
     lists = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lists = lists.withColumn("a", F.least("cls", "hub")).withColumn("b", F.greatest("cls", "hub")).join(measured.select("a", "b", "both"), ["a", "b"], "left")
-    lists = stash.keep(lists.select("list", "cls", "n", "s", "root", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.col("both")).alias("i")), "labelled")
-    sizes = lists.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
-    open_lists = sizes.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "members").alias("main")).where("roots > 1")
-    members = lists.join(open_lists.select("list", "main"), "list")
-    u, v = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in "uv")
-    # common shingles: those within the hub's set, and those beyond it
-    within = F.least("u_i", "v_i") + F.least(F.col("u_s") - F.col("u_i"), F.col("v_s") - F.col("v_i"))
-    most = F.least("u_s", "v_s", F.when(F.col("u_i").isNotNull() & F.col("v_i").isNotNull(), within))
-    apart = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_cls") < F.col("v_cls")))
-    rest = u.where("u_root != u_main").join(v, (F.col("u_list") == F.col("v_list")) & apart & reach(F.col("u_n"), F.col("v_n"), most))
-    rest = rest.select(F.least("u_cls", "v_cls").alias("a"), F.greatest("u_cls", "v_cls").alias("b")).distinct()
+    for pivot, common in (("hub", "i"), ("low", "j")):
+        known = measured.select("a", "b", F.col("both").alias(common))
+        lists = lists.withColumn("a", F.least("cls", pivot)).withColumn("b", F.greatest("cls", pivot)).join(known, ["a", "b"], "left").drop("a", "b")
+        lists = lists.withColumn(common, F.when(F.col("cls") == F.col(pivot), F.col("n")).otherwise(F.col(common)))
+    lists = stash.keep(lists.drop("hub", "low"), "labelled")
+    rest = remaining(lists, percent)
     rest = stash.keep(collide(rest.join(measured, ["a", "b"], "left_anti")), "rest")
     more = stash.keep(confirm(rest, sets, percent).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
