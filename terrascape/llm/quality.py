@@ -92,7 +92,7 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return net.combine(logits, first)
 
 
-def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 6, chunks_per_text: int = 6, rate: float = 0.01) -> Network:
+def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, chunks_per_text: int = 8, rate: float = 0.01) -> Network:
     """Adam on chunks of the texts, both classes weighing the same, then the mix of mean and lowest chunk logit on whole texts."""
     net = Network.fresh(seed)
     y = np.array(good, dtype=np.float64)
@@ -117,7 +117,7 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 6, chu
         for i in range(0, len(order), 128):
             of = order[i : i + 128]
             c = codes[pick[of]].copy()
-            cut = np.where(g.random(len(c)) < 0.4, g.integers(20, CHUNK, len(c)), CHUNK)  # short texts are rare, so some chunks are cut short
+            cut = np.where(g.random(len(c)) < 0.5, 16 * (CHUNK / 16) ** g.random(len(c)), CHUNK)  # short texts are rare, so some chunks are cut short
             c[np.arange(CHUNK)[None, :] >= cut[:, None]] = 256
             x = net.places(c)
             z = (x.reshape(-1, x.shape[2]) @ net.filters).reshape(len(c), PLACES, FILTERS)
