@@ -33,10 +33,14 @@ class Chunk:
             data, offsets = buffers(column, lower=True)
             starts, ends, row = words(data, offsets)
             n = len(column)
-            where = np.concatenate([np.arange(n), row, np.arange(n)])
-            place = np.argsort(where, kind="stable")
-            hashes.append(np.concatenate([np.full(n, BEGIN, np.uint64), word_hashes(data, starts, ends), np.full(n, END, np.uint64)])[place])
-            rows.append(where[place] + base)
+            of_row = np.bincount(row, minlength=n) + 2
+            token = np.empty(len(row) + 2 * n, np.uint64)
+            last = np.cumsum(of_row) - 1
+            token[last - of_row + 1] = BEGIN
+            token[last] = END
+            token[np.arange(len(row)) + 2 * row + 1] = word_hashes(data, starts, ends)
+            hashes.append(token)
+            rows.append(np.repeat(np.arange(base, base + n), of_row))
             base += n
         self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.token = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -53,18 +57,17 @@ class Chunk:
             h &= np.uint64((1 << 64) - (1 << 8 * (8 - _GRAM_BYTES)))
             reach &= ok
             self.grams.append(np.where(reach, h, np.uint64(0)))
-        self.distinct: list[np.ndarray] = []
         longer = np.concatenate(self.grams[1:]) if order > 1 else np.zeros(0, np.uint64)
-        for values in (self.token, longer[longer > 0]):
-            self.distinct.append(np.unique(values))
+        self.real = np.flatnonzero(longer)
+        #: Sorted distinct tokens and longer n-grams, and the index among them of each token and each n-gram of self.real.
+        indexed = [_indexed(self.token), _indexed(longer[self.real])]
+        self.distinct, self.index = [d for d, _ in indexed], [i for _, i in indexed]
 
     def counts(self, train: np.ndarray) -> list[np.ndarray]:
         """How often each distinct token, and each distinct longer n-gram, occurs in rows that are learned from."""
         learned = train[self.rows]
-        out = [np.bincount(np.searchsorted(self.distinct[0], self.token[learned]), minlength=len(self.distinct[0]))]
-        longer = np.concatenate([g[learned] for g in self.grams[1:]]) if self.order > 1 else np.zeros(0, np.uint64)
-        out.append(np.bincount(np.searchsorted(self.distinct[1], longer[longer > 0]), minlength=len(self.distinct[1])))
-        return out
+        of_longer = np.tile(learned, self.order - 1)[self.real]
+        return [np.bincount(i[on], minlength=len(d)) for d, i, on in zip(self.distinct, self.index, (learned, of_longer), strict=True)]
 
     def traverse(self, counts: list[np.ndarray], total: int, kinds: int, trust: float) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each row.
@@ -73,12 +76,13 @@ class Chunk:
         arc to the next shorter context, adding its weight, until an arc fits; the empty context has an arc for every
         token. The state before a token depends on the tokens before it alone, so the walk is done for all positions of the chunk level by level.
         """
-        own = counts[0][np.searchsorted(self.distinct[0], self.token)].astype(np.float64)
+        own = counts[0][self.index[0]].astype(np.float64)
+        found = np.zeros(len(self.token) * (self.order - 1))
+        found[self.real] = counts[1][self.index[1]]
         real = self.token != np.uint64(BEGIN)
         start = np.log10((own + 0.5) / (total + 0.5 * (kinds + 1)))
         chance = 10.0**start
-        n_of = lambda g: np.where(g > 0, counts[1][np.minimum(np.searchsorted(self.distinct[1], g), max(0, len(self.distinct[1]) - 1))], 0) if len(self.distinct[1]) else np.zeros(len(g))
-        seen = [own, *(n_of(g).astype(np.float64) for g in self.grams[1:])]
+        seen = [own, *found.reshape(self.order - 1, -1)]
         log = start.copy()
         for k in range(2, self.order + 1):  # weights of arcs and failure arcs, from short contexts to long
             context = np.zeros(len(own))
@@ -93,6 +97,17 @@ class Chunk:
         return np.bincount(group, minlength=self.size), tally(own > 0).astype(np.int64), tally(start), tally(log)
 
 
+def _indexed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the index of each value among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    head = np.ones(len(values), bool)
+    head[1:] = ranked[1:] != ranked[:-1]
+    index = np.empty(len(values), np.int64)
+    index[order] = np.cumsum(head) - 1
+    return ranked[head], index
+
+
 def _shrink(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(values.astype(np.uint64).tobytes())
 

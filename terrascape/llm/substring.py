@@ -49,21 +49,30 @@ def _bucket(fps: np.ndarray, buckets: int) -> np.ndarray:
     return ((fps >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _groups(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct value of sorted fps, and the group of each place."""
+    head = np.ones(len(fps), bool)
+    head[1:] = fps[1:] != fps[:-1]
+    return np.flatnonzero(head), np.cumsum(head) - 1
+
+
 def entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Iterator[pa.RecordBatch]:
-    """A sorted run, cut by bucket. ids of one memtable stand as ranks in the list of its ids."""
+    """Entries sorted by fingerprint, cut by bucket; of a run, each fingerprint once with its least id. Ids of a piece stand as ranks in its list of ids."""
     if not len(fps):
         return
-    order = np.lexsort((ids, fps))
+    order = np.argsort(fps)
     fps, ids = fps[order], ids[order]
-    keep = np.r_[True, (fps[1:] != fps[:-1]) | (False if run else ids[1:] != ids[:-1])]
-    fps, ids = fps[keep], ids[keep]
+    if run:
+        first, _ = _groups(fps)
+        fps, ids = fps[first], np.minimum.reduceat(ids, first)
     b = _bucket(fps, buckets)
     cuts = np.r_[0, np.flatnonzero(b[1:] != b[:-1]) + 1, len(b)]
     rows = []
     for x, y in zip(cuts, cuts[1:], strict=False):
         for i in range(x, y, 4 << 20):
             j = min(y, i + (4 << 20))
-            own, rank = np.unique(ids[i:j], return_inverse=True)
+            own = np.unique(ids[i:j])
+            rank = np.searchsorted(own, ids[i:j])
             kind = np.uint16 if len(own) < 1 << 16 else np.uint32
             rows.append((int(b[x]), run, pack(fps[i:j]), rank.astype(kind).tobytes(), np.diff(own, prepend=0).astype(np.int64).tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "run", "fps", "ranks", "ids"])
@@ -124,15 +133,15 @@ class WindowIndex:
             fps, ids = np.concatenate([old, new]), np.concatenate([old_ids, new_ids])
             fresh = np.r_[np.zeros(len(old), bool), np.ones(len(new), bool)]
             del old, new, old_ids, new_ids
-            order = np.lexsort((ids, fps))
+            order = np.argsort(fps)
             fps, ids, fresh = fps[order], ids[order], fresh[order]
-            head = np.r_[True, fps[1:] != fps[:-1]]
-            least = ids[head][np.cumsum(head) - 1]
-            hit = np.flatnonzero(fresh & (ids > least))
-            out = [(bucket, False, None, None, None, *h) for h in _hits(fps[hit], ids[hit], least[hit], chunks)]
+            first, group = _groups(fps)
+            least = np.minimum.reduceat(ids, first)
+            hit = np.flatnonzero(fresh & (ids > least[group]))
+            out = [(bucket, False, None, None, None, *h) for h in _hits(fps[hit], ids[hit], least[group[hit]], chunks)]
             if flush:
-                own = np.flatnonzero(head & fresh)
-                for b in entries(fps[own], ids[own], buckets, True):
+                own = np.logical_and.reduceat(fresh, first)
+                for b in entries(fps[first[own]], least[own], buckets, True):
                     out += [(*r.values(), None, None, None) for r in b.to_pylist()]
             columns = list(zip(*out, strict=True)) or [()] * 8
             kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
