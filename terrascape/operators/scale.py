@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import boxcox_lambda
+from ..session import held
 from ..sources.metadata import Instances
 from .label import TINY
 
@@ -51,8 +52,9 @@ def order_statistics(df: DataFrame, cols: list[str], shares: list[float]) -> dic
 def column_stats(t: Instances, cols: list[str]) -> DataFrame:
     """One row a column: name, n, median, iqr (midpoint of neighbouring order statistics), lo, hi (median -/+ 5 iqr), min, max, mean, std."""
     spark = t.df.sparkSession
-    ranks = order_statistics(t.df, cols, [0.25, 0.5, 0.75])
-    row = t.df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))]).first()
+    with held(t.df.select(*cols)) as df:
+        ranks = order_statistics(df, cols, [0.25, 0.5, 0.75])
+        row = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))]).first()
     mid = lambda pair: None if pair is None else (pair[0] + pair[1]) / 2
     rows = []
     for i, c in enumerate(cols):
@@ -103,13 +105,14 @@ def normalise(t: Instances) -> tuple[Instances, DataFrame]:
     Also one row a column: name, low, add, lambda, mean, std.
     """
     cols = [*t.features, *t.algos]
-    row = t.df.agg(*[F.min(c).alias(c) for c in cols]).first()
-    low = min((row[a] for a in t.algos if row[a] is not None), default=0.0)
-    shift = {c: (row[c] or 0.0, 1.0) for c in t.features} | dict.fromkeys(t.algos, (low, TINY))
-    lam = {r["name"]: r["lambda"] for r in boxcox_lambdas(t.df, cols, shift).collect()}
-    raised = {c: boxcox(shifted(c, *shift[c]), lam.get(c, 1.0)) for c in cols}
+    with held(t.df.select(*cols)) as raw:
+        row = raw.agg(*[F.min(c).alias(c) for c in cols]).first()
+        low = min((row[a] for a in t.algos if row[a] is not None), default=0.0)
+        shift = {c: (row[c] or 0.0, 1.0) for c in t.features} | dict.fromkeys(t.algos, (low, TINY))
+        lam = {r["name"]: r["lambda"] for r in boxcox_lambdas(raw, cols, shift).collect()}
+        raised = {c: boxcox(shifted(c, *shift[c]), lam.get(c, 1.0)) for c in cols}
+        row = raw.select(*[x.alias(c) for c, x in raised.items()]).agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
     df = t.df.select(*[raised[c].alias(c) if c in raised else F.col(c) for c in t.df.columns])
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
     z = {c: F.try_divide(F.col(c) - F.lit(row[f"m_{c}"]), F.lit(row[f"s_{c}"])) for c in cols}
     stats = t.df.sparkSession.createDataFrame([(c, *map(float, shift[c]), lam.get(c, 1.0), row[f"m_{c}"], row[f"s_{c}"]) for c in cols], "name string, low double, add double, lambda double, mean double, std double")
     return t.with_df(df.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])), stats

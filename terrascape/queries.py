@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.numeric import critical_r
-from .operators import classify, clean, corners, correlate, footprints, label, project, scale, sift, subset
+from .operators import classify, clean, corners, correlate, footprints, label, neighbours, project, scale, sift, subset
 from .operators.label import Performance
 from .sources.metadata import Instances, from_dataframe
 from .sources.tpch import ALGOS, CUSTOMER_FEATURES, SUPPLIER_FEATURES, customer_instances, supplier_instances
@@ -214,8 +214,8 @@ def f4_boxcox_mle(spark, d):
 
 @query("SELECT iid FROM t WHERE iid IN (SELECT iid FROM (SELECT iid, row_number() OVER (ORDER BY iid) AS r FROM t) WHERE r % 7 = 3)")
 def p11_file_index(spark, d):
-    n = spark.range(0, 100_000_000, 7).select((F.col("id") + 3).alias("row"))
     t = _c(spark, d)
+    n = spark.range(0, t.df.count() + 100, 7).select((F.col("id") + 3).alias("row"))
     return subset.by_index(t, n).df.select("iid")
 
 
@@ -550,6 +550,12 @@ def d6_core_points(spark, d):
     return _neighbours(z, r["eps"]).where(F.col("degree") >= r["k"] + 1).select("iid")
 
 
+@query(SCALED + f", r AS (SELECT x.iid, y.iid AS near, {_DX} AS distance, row_number() OVER (PARTITION BY x.iid ORDER BY {_DX}, y.iid) AS rank FROM q x JOIN q y ON x.iid <> y.iid WHERE x.iid % 10 = 0) SELECT iid, rank::INT AS rank, near, round(distance, 6) AS distance FROM r WHERE rank <= 3", SUPPLIER)
+def j10_nearest(spark, d):
+    t = _scaled(spark, d)
+    return neighbours.nearest(t.df, t.df.where("iid % 10 = 0"), list(SF)).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def d6_dbscan(spark, d):
     from .functions.geometry import dbscan

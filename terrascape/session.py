@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +30,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Checkpoints df there, so that its lineage ends and survives lost executors."""
     durable_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df kept for the passes within; only what is kept already stays kept afterwards."""
+    fresh = df.storageLevel == StorageLevel.NONE
+    if fresh:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if fresh:
+            df.unpersist()
