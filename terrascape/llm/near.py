@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .exact import BitmapFilter
 from .store import Stash
 from .substring import BUCKET_BYTES, ENTRY, MEMTABLE, cut, entries, read_entries
-from .textkit import buffers, mix, ngrams, slices, word_hashes, words
+from .textkit import buffers, mix, ngrams, release, slices, word_hashes, words
 
 #: Coordinates of a signature, and how likely a pair at the threshold may be to share too few of them.
 COORDINATES, MISS = 48, 1e-6
@@ -71,6 +71,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
                 ], ["doc_id", "text_key", "n_shingles", "cls", "sig"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls binary, sig array<int>")
 
@@ -88,6 +89,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                     part.column("cls"), pa.array([int.from_bytes(c[:8], "big", signed=True) for c in classes], pa.int64()),
                     pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary()),
                 ], ["cls", "key", "n", "grams"]).filter(own)
+        release()
 
     return docs.select("cls", "text").mapInArrow(run, "cls binary, key long, n long, grams binary")
 
@@ -141,6 +143,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both.append(len(np.intersect1d(x, y, assume_unique=True)))
                 linked.append(100 * both[-1] >= percent * (len(x) + len(y) - both[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
+        release()
 
     x, y = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, both long, linked boolean")

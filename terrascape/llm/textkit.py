@@ -106,7 +106,7 @@ def ngrams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(h[at]), at
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in pieces of about `most` bytes of text; a longer text is a piece of its own."""
     texts = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
@@ -116,3 +116,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def release() -> None:
+    """Gives unused memory of Arrow's pool back, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
