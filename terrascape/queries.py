@@ -500,11 +500,11 @@ sl AS (SELECT avg(CASE WHEN algo = selection1 THEN y END) AS a, stddev_pop(CASE
  count(*) FILTER (good AND algo = selection0)::DOUBLE / nullif(count(*) FILTER (algo = selection0), 0) AS pr, count(*) FILTER (good AND algo = selection0)::DOUBLE / nullif(count(*) FILTER (good), 0) AS rc FROM j),
 u AS (SELECT per.algo, per.name, avg_perf, std_perf, prob_good, avg_perf_selected, std_perf_selected, accuracy, precision, recall FROM per JOIN ms ON ms.algo = per.algo
  UNION ALL SELECT 6, 'Oracle', a, s, p, NULL, NULL, NULL, NULL, NULL FROM orc UNION ALL SELECT 7, 'Selector', a, s, p, a0, s0, NULL, pr, rc FROM sl)
-SELECT algo, name, round(avg_perf, 2) AS avg_perf, round(std_perf, 2) AS std_perf, round(prob_good, 3) AS prob_good, round(avg_perf_selected, 2) AS avg_perf_selected, round(std_perf_selected, 2) AS std_perf_selected, round(accuracy, 3) AS accuracy, round(precision, 3) AS precision, round(recall, 3) AS recall FROM u""")
+SELECT algo, name, round(avg_perf, 3) AS avg_perf, round(std_perf, 3) AS std_perf, round(prob_good, 3) AS prob_good, round(avg_perf_selected, 3) AS avg_perf_selected, round(std_perf_selected, 3) AS std_perf_selected, round(accuracy, 3) AS accuracy, round(precision, 3) AS precision, round(recall, 3) AS recall FROM u""")
 def a15_summary(spark, d):
     t, pred = _threshold(spark, d)
     s = classify.summary(t, pred)
-    return s.select("algo", "name", *[F.round(c, 2).alias(c) if "perf" in c else c for c in ("avg_perf", "std_perf", "prob_good", "avg_perf_selected", "std_perf_selected", "accuracy", "precision", "recall")])
+    return s.select("algo", "name", "avg_perf", "std_perf", "prob_good", "avg_perf_selected", "std_perf_selected", "accuracy", "precision", "recall")
 
 
 _ZQ = SCALED + f", z AS (SELECT iid, algo_p1 <= 3.9 AS good, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q)"
@@ -550,10 +550,10 @@ def d6_core_points(spark, d):
     return _neighbours(z, r["eps"]).where(F.col("degree") >= r["k"] + 1).select("iid")
 
 
-@query(SCALED + f", r AS (SELECT x.iid, y.iid AS near, {_DX} AS distance, row_number() OVER (PARTITION BY x.iid ORDER BY {_DX}, y.iid) AS rank FROM q x JOIN q y ON x.iid <> y.iid WHERE x.iid % 10 = 0) SELECT iid, rank::INT AS rank, near, round(distance, 6) AS distance FROM r WHERE rank <= 3", SUPPLIER)
+@query(SCALED + f", r AS (SELECT x.iid, y.iid AS near, {_DX} AS distance, row_number() OVER (PARTITION BY x.iid ORDER BY {_DX}, y.iid) AS rank FROM q x JOIN q y ON x.iid <> y.iid WHERE x.iid % 50 = 0) SELECT iid, rank::INT AS rank, near, round(distance, 6) AS distance FROM r WHERE rank <= 3", SUPPLIER)
 def j10_nearest(spark, d):
     t = _scaled(spark, d)
-    return neighbours.nearest(t.df, t.df.where("iid % 10 = 0"), list(SF)).withColumn("distance", F.round("distance", 6))
+    return neighbours.nearest(t.df, t.df.where("iid % 50 = 0"), list(SF)).withColumn("distance", F.round("distance", 6))
 
 
 @query()
@@ -625,20 +625,20 @@ def a20_trace_summary(spark, d):
 
 @query()
 def m2_kmeans(spark, d):
-    held = sift.sample(_scaled(spark, d), 2000)
+    held = sift.sample(_scaled(spark, d), 100_000)
     c = sift.feature_clusters(held[list(SF)].to_numpy(), 3, tries=10)
     return spark.createDataFrame([(f, int(k)) for f, k in zip(SF, c, strict=True)], "feature string, cluster int")
 
 
 @query()
 def a22_silhouette(spark, d):
-    held = sift.sample(_scaled(spark, d), 2000)
+    held = sift.sample(_scaled(spark, d), 100_000)
     return spark.createDataFrame([(k, s) for k, s in enumerate(sift.silhouette_sweep(held[list(SF)].to_numpy(), tries=5), 2)], "k int, silhouette double")
 
 
 @query()
 def m4_ga(spark, d):
-    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4, tries=5, rows=100, population=8, generations=3)
+    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4, tries=5, rows=100_000, population=8, generations=3)
     return spark.createDataFrame([(f,) for f in s.chosen], "feature string")
 
 
