@@ -59,7 +59,7 @@ class Sift(Stage):
         return {"table": found.table, "sifted": found}
 
 
-class Pilot(Stage):
+class Projecting(Stage):
     inputs, outputs = ("table", "options", "sifted"), ("projection", "projected")
 
     def run(self, table: Instances, options: Options, sifted: sift.Sifted) -> dict[str, Any]:
@@ -67,7 +67,7 @@ class Pilot(Stage):
         return {"projection": p, "projected": table.with_df(p.apply(table.df).persist())}
 
 
-class CloisterStage(Stage):
+class Boundary(Stage):
     inputs, outputs = ("table", "projection", "options"), ("z_edge", "z_ecorr")
 
     def run(self, table: Instances, projection: project.Projection, options: Options) -> dict[str, Any]:
@@ -75,7 +75,7 @@ class CloisterStage(Stage):
         return {"z_edge": full, "z_ecorr": pruned}
 
 
-class PythiaStage(Stage):
+class Choosing(Stage):
     inputs, outputs = ("projected", "options"), ("predictions", "selections", "svm_summary", "z_stats")
 
     def run(self, projected: Instances, options: Options) -> dict[str, Any]:
@@ -85,7 +85,7 @@ class PythiaStage(Stage):
         return {"predictions": pred, "selections": classify.selections(pred), "svm_summary": classify.summary(t, pred, larger=options.perf.max_perf), "z_stats": z_stats}
 
 
-class TraceStage(Stage):
+class Mapping(Stage):
     inputs, outputs = ("projected", "predictions", "selections", "options"), ("footprints", "trace_summary")
 
     def run(self, projected: Instances, predictions: DataFrame, selections: DataFrame, options: Options) -> dict[str, Any]:
@@ -96,7 +96,7 @@ class TraceStage(Stage):
         return {"footprints": found, "trace_summary": footprints.summary(found, {k + 1: a for k, a in enumerate(projected.algos)})}
 
 
-DEFAULT_STAGES: tuple[type[Stage], ...] = (Preprocessing, Prelim, Sift, Pilot, PythiaStage, CloisterStage, TraceStage)
+DEFAULT_STAGES: tuple[type[Stage], ...] = (Preprocessing, Prelim, Sift, Projecting, Choosing, Boundary, Mapping)
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ class Model:
         return save_zip(name, folder)
 
 
-class InstanceSpace:
+class Landscape:
     """Takes an instance table and options, orders the stages, further ones included, and runs them. extra: initial arguments of further stages."""
 
     def __init__(self, table: Instances, options: Options | None = None, stages: tuple[type[Stage], ...] | list[type[Stage]] = DEFAULT_STAGES, extra: dict[str, Any] | None = None):
@@ -161,11 +161,11 @@ class InstanceSpace:
         return self.runner.run_until_stage(stage)
 
 
-def from_files(spark: SparkSession, table: str, options: str) -> InstanceSpace | None:
+def from_files(spark: SparkSession, table: str, options: str) -> Landscape | None:
     t, o = meta.from_csv(spark, table), opts.from_json(options)
-    return None if t is None or o is None else InstanceSpace(t, o)
+    return None if t is None or o is None else Landscape(t, o)
 
 
-def from_directory(spark: SparkSession, folder: str) -> InstanceSpace | None:
+def from_directory(spark: SparkSession, folder: str) -> Landscape | None:
     """metadata.csv and options.json of a folder."""
     return from_files(spark, f"{folder}/metadata.csv", f"{folder}/options.json")

@@ -5,7 +5,7 @@ import pytest
 
 from terrascape.operators import clean, label, sift, subset
 from terrascape.operators.label import Performance
-from terrascape.plans.space import DEFAULT_STAGES, InstanceSpace, PythiaStage, Preprocessing, TraceStage, from_directory
+from terrascape.plans.landscape import DEFAULT_STAGES, Landscape, Choosing, Preprocessing, Mapping, from_directory
 from terrascape.plans.stage import Stage, StageBuilder, StageResolutionError, StageRunner, StageRunningError
 from terrascape.sources import metadata, options
 
@@ -136,7 +136,7 @@ def test_whole_analysis(spark, tmp_path):
     (tmp_path / "metadata.csv").write_text(header + "\n" + "\n".join(f"i{k},s{k % 2}," + ",".join(map(str, r)) for k, r in enumerate(rows)) + "\n")
     (tmp_path / "options.json").write_text(json.dumps({"perf": {"epsilon": 0.6}, "pilot": {"analytic": True}, "sifted": {"flag": False}}))
     made = from_directory(spark, str(tmp_path))
-    space = InstanceSpace(made.metadata, made.options, [*DEFAULT_STAGES, Extra], {"factor": 2})
+    space = Landscape(made.metadata, made.options, [*DEFAULT_STAGES, Extra], {"factor": 2})
     model = space.build()
     assert model.doubled == 180 and model.projected.df.count() == 90
     assert model.trace_summary.count() == 3 and model.z_edge.count() >= 3
@@ -152,7 +152,7 @@ def test_whole_analysis(spark, tmp_path):
     with pytest.raises(ValueError):
         model.save_to_csv(tmp_path / "missing")
     assert space.runner.waves.index([Preprocessing]) == 0
-    assert any(PythiaStage in w for w in space.runner.waves) and space.runner.waves[-1] == [TraceStage] or TraceStage in space.runner.waves[-1]
+    assert any(Choosing in w for w in space.runner.waves) and space.runner.waves[-1] == [Mapping] or Mapping in space.runner.waves[-1]
 
 
 def test_too_few_features(spark):
