@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,19 @@ def read_entries(table: pa.Table, run: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(fps), np.concatenate(ids)
 
 
+_MERGED = f"{ENTRY}, chunk int, hits binary, first binary"
+
+
+def _merged(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 8
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "run", "fps", "ranks", "ids", "chunk", "hits", "first"])
+
+
+def _row(rows: list[tuple]) -> pa.RecordBatch:
+    return _merged(rows).combine_chunks().to_batches()[0]
+
+
 class WindowIndex:
     """Sorted immutable runs of window fingerprints, each with the least doc_id that has it; probed by merge join."""
 
@@ -95,8 +109,27 @@ class WindowIndex:
         self.runs: list[DataFrame] = []
 
     def memtables(self, docs: DataFrame) -> DataFrame:
-        """Sorted entries of all windows of docs, flushed whenever a memtable is full."""
-        k, buckets = self.k, self.buckets
+        """Sorted entries of the windows of docs, flushed whenever a memtable is full.
+
+        A memtable sends one entry a fingerprint, with its least id; its other rows with that fingerprint have their answer already, as hits
+        for their chunks. So a window that very many documents share makes few entries.
+        """
+        k, buckets, chunks = self.k, self.buckets, self.chunks
+
+        def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            fps, ids = map(np.concatenate, zip(*held, strict=True))
+            if not len(fps):
+                return
+            order = np.argsort(fps)
+            fps, ids = fps[order], ids[order]
+            first, group = _groups(fps)
+            least = np.minimum.reduceat(ids, first)
+            for b in entries(fps[first], least, buckets, True):
+                yield _row([(r["bucket"], False, r["fps"], r["ranks"], r["ids"], None, None, None) for r in b.to_pylist()])
+            hit = np.flatnonzero(ids > least[group])
+            rows = [(c % buckets, False, None, None, None, c, h, f) for c, h, f in _hits(fps[hit], ids[hit], least[group[hit]], chunks)]
+            if rows:
+                yield _row(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -107,12 +140,12 @@ class WindowIndex:
                     held.append((fps, part.column("doc_id").to_numpy()[rows[at]]))
                     count += len(fps)
                     if count >= MEMTABLE:
-                        yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                        yield from flush(held)
                         held, count = [], 0
             if held:
-                yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                yield from flush(held)
 
-        return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
+        return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MERGED)
 
     def add(self, docs: DataFrame, flush: bool = True) -> DataFrame:
         """Merge-joins a batch, whose ids follow those of earlier batches, with all runs: chunk, fps, first (packed arrays).
@@ -123,13 +156,18 @@ class WindowIndex:
         buckets, chunks = self.buckets, self.chunks
         history = self.memtables(docs)
         for r in self.runs:
-            history = history.unionByName(r)
+            history = history.unionByName(r, allowMissingColumns=True)
 
         def merge(table: pa.Table) -> pa.Table:
+            bucket = table.column("bucket")[0].as_py()
+            answered = table.column("hits").is_valid()
+            out = [(bucket, False, None, None, None, *r.values()) for r in table.filter(answered).select(["chunk", "hits", "first"]).to_pylist()]
+            table = table.filter(pc.invert(answered))
             new, new_ids = read_entries(table, False)
             old, old_ids = read_entries(table, True)
-            bucket = table.column("bucket")[0].as_py()
             del table
+            if not len(new):
+                return _merged(out)
             fps, ids = np.concatenate([old, new]), np.concatenate([old_ids, new_ids])
             fresh = np.r_[np.zeros(len(old), bool), np.ones(len(new), bool)]
             del old, new, old_ids, new_ids
@@ -138,16 +176,14 @@ class WindowIndex:
             first, group = _groups(fps)
             least = np.minimum.reduceat(ids, first)
             hit = np.flatnonzero(fresh & (ids > least[group]))
-            out = [(bucket, False, None, None, None, *h) for h in _hits(fps[hit], ids[hit], least[group[hit]], chunks)]
+            out += [(bucket, False, None, None, None, *h) for h in _hits(fps[hit], ids[hit], least[group[hit]], chunks)]
             if flush:
                 own = np.logical_and.reduceat(fresh, first)
                 for b in entries(fps[first[own]], least[own], buckets, True):
                     out += [(*r.values(), None, None, None) for r in b.to_pylist()]
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-            return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "run", "fps", "ranks", "ids", "chunk", "hits", "first"])
+            return _merged(out)
 
-        found = self.stash.keep(history.groupBy("bucket").applyInArrow(merge, f"{ENTRY}, chunk int, hits binary, first binary"), "merged")
+        found = self.stash.keep(history.groupBy("bucket").applyInArrow(merge, _MERGED), "merged")
         if flush:
             self.runs.append(found.where("run").select("bucket", "run", "fps", "ranks", "ids"))
             if len(self.runs) >= self.fanout:
@@ -202,6 +238,9 @@ def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: dict[st
         first = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(h, np.int64) for h in right.column("first").to_pylist())])
         order = np.argsort(fps)
         fps, first = fps[order], first[order]
+        if len(fps):  # a memtable and a bucket may both have answered
+            head, _ = _groups(fps)
+            fps, first = fps[head], np.minimum.reduceat(first, head)
         out = []
         for batch in left.to_batches():
             for part in slices(batch, "text"):
