@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,13 +83,21 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 def loose_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Places of the loose forms that overlap no base span; the first kind that fits a place."""
-    taken, out = [(a, b) for a, b, _ in base], []
+    starts, ends, out = [], [], []  # taken places, apart from each other and in order
+    for a, b, _ in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind in KINDS:
         if kind != "email" and not _DIGIT.search(text) or kind == "email" and "@" not in text and "at" not in text:
             continue
         for m in _LOOSE[kind].finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                taken.append(m.span())
+            i = bisect_right(starts, m.start())
+            if (i == 0 or ends[i - 1] <= m.start()) and (i == len(starts) or starts[i] >= m.end()):
+                starts.insert(i, m.start())
+                ends.insert(i, m.end())
                 out.append((*m.span(), kind))
     return out
 
