@@ -75,22 +75,14 @@ class Search:
         if not self.items:
             return []
         text = normal(text)
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for n, offset in where:
-                item = self.items[n]
-                a = end + 1 - size - offset - item.budget
-                b = a + item.size + 2 * item.budget
-                known = windows.setdefault(n, [])
-                near = next((w for w in reversed(known) if a <= w[1] and w[0] <= b), None)
-                if near is None:
-                    known.append([a, b])
-                else:
-                    near[0], near[1] = min(a, near[0]), max(b, near[1])
+                windows.setdefault(n, []).append(end + 1 - size - offset - self.items[n].budget)
         found = []
-        for n, known in windows.items():
+        for n, begins in windows.items():
             item, best = self.items[n], None
-            for a, b in sorted(known):
+            for a, b in _joined(begins, item.size + 2 * item.budget):
                 errors, at = item.search(text[max(0, a) : max(0, b)])
                 if errors <= item.budget and (best is None or errors < best[0]):
                     best = errors, max(0, a) + at
@@ -99,6 +91,18 @@ class Search:
         return sorted(found)
 
 
+def _joined(begins: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Windows of one size as few that do not meet, in order."""
+    begins.sort()
+    a, b = begins[0], begins[0] + size
+    for x in begins:
+        if x > b:
+            yield a, b
+            a = x
+        b = x + size
+    yield a, b
+
+
 _SEARCHES: dict[int, Search] = {}
 
 
