@@ -101,10 +101,10 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
         net.head = np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))])
         return net
     data, offsets = buffers(pa.array(texts, pa.string()))
-    codes, first = chunks(data, offsets)
-    n = np.diff(np.r_[first, len(codes)])
+    n = np.maximum(1, -(-(np.diff(offsets) - CHUNK) // STRIDE) + 1)
     g = np.random.default_rng(seed)
-    pick = np.concatenate([f + (np.arange(k) if k <= chunks_per_text else np.sort(g.choice(k, chunks_per_text, replace=False))) for f, k in zip(first, n, strict=True)])
+    some = [np.arange(k) if k <= chunks_per_text else np.sort(g.choice(k, chunks_per_text, replace=False)) for k in n]
+    codes = np.concatenate([chunks(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0][s] for i, s in enumerate(some)])
     label = np.repeat(y, np.minimum(n, chunks_per_text))
     weight = np.repeat(np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / np.minimum(n, chunks_per_text), np.minimum(n, chunks_per_text))
     weight *= len(weight) / weight.sum()
@@ -113,10 +113,10 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
     t = 0
     for p in range(passes):
-        order = g.permutation(len(pick))
+        order = g.permutation(len(codes))
         for i in range(0, len(order), 128):
             of = order[i : i + 128]
-            c = codes[pick[of]].copy()
+            c = codes[of].copy()
             cut = np.where(g.random(len(c)) < 0.5, 16 * (CHUNK / 16) ** g.random(len(c)), CHUNK)  # short texts are rare, so some chunks are cut short
             c[np.arange(CHUNK)[None, :] >= cut[:, None]] = 256
             x = net.places(c)
@@ -137,8 +137,12 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
                 v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
                 setattr(net, k, getattr(net, k) - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7))
-    logits = np.concatenate([net.logits(codes[i : i + 512]) for i in range(0, len(codes), 512)])
-    x = np.c_[np.add.reduceat(np.tanh(logits / 4), first) / n, np.tanh(np.minimum.reduceat(logits, first) / 4), np.ones(len(y))]
+    x = np.ones((len(y), 3))
+    for i in range(0, len(y), 50):
+        c, first = chunks(data[offsets[i] : offsets[min(i + 50, len(y))]], offsets[i : i + 51] - offsets[i])
+        logits = np.concatenate([net.logits(c[j : j + 512]) for j in range(0, len(c), 512)])
+        x[i : i + 50, 0] = np.add.reduceat(np.tanh(logits / 4), first) / n[i : i + 50]
+        x[i : i + 50, 1] = np.tanh(np.minimum.reduceat(logits, first) / 4)
     w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     head = np.zeros(3)
     for _ in range(50):
@@ -149,14 +153,15 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), train_rows: int = 3000) -> str:
-    """A network from at most train_rows labelled rows, half of each class, as text. Rows whose crc32(doc_id) modulo fold[0] is fold[1] are never learned from."""
+def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), train_rows: int = 3000, longest: int = 32_768) -> str:
+    """A network from at most train_rows labelled rows, half of each class, as text. Rows whose crc32(doc_id) modulo fold[0] is fold[1] are never learned from, nor are texts of more than `longest` bytes, so that the sample is bounded."""
     mine = labels.where(F.col("quality").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) != fold[1]))
     mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     halves = [mine.where(F.col("quality") == c).orderBy(order, "doc_id").limit(train_rows // 2) for c in (0, 1)]
     chosen = F.broadcast(halves[0].unionByName(halves[1]))  # at most train_rows ids
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(train_rows).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.where(F.octet_length("text") <= longest).join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(train_rows).collect()
     return train([r.text for r in rows], [r.quality for r in rows]).dump()
 
 

@@ -249,18 +249,19 @@ def _loaded(model: str) -> ToxicityModel:
     return _MODELS[model]
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), train_rows: int = 3000) -> str:
+def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), train_rows: int = 3000, longest: int = 32_768) -> str:
     """A model from at most train_rows labelled rows, half of each class, as JSON.
 
     Rows whose crc32(doc_id) modulo fold[0] is fold[1] are never learned from. Of the others those with the least md5(doc_id) are
-    taken. Without labelled rows of both classes the model scores every text alike.
+    taken; texts of more than `longest` bytes are left out, so that the sample is bounded. Without labelled rows of both classes the model scores every text alike.
     """
     mine = labels.where(F.col("toxic").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) != fold[1]))
     mine = mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     halves = [mine.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(train_rows // 2) for c in (0, 1)]
     chosen = F.broadcast(halves[0].unionByName(halves[1]))  # at most train_rows ids
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(train_rows).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.where(F.octet_length("text") <= longest).join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(train_rows).collect()
     return train([r.text for r in rows], [r.toxic for r in rows]).to_json()
 
 
