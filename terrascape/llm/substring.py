@@ -16,9 +16,9 @@ from .store import Stash
 from .textkit import buffers, ngrams, slices, word_hashes, words
 
 #: Bytes of a window's fingerprint in the index, and entries that a memtable holds.
-FINGERPRINT, MEMTABLE = 6, 1 << 20
+FINGERPRINT, MEMTABLE = 6, 1 << 19
 #: Text bytes of one bucket's windows and of one chunk of documents.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 
 ENTRY = "bucket int, run boolean, fps binary, ranks binary, ids binary"
 
