@@ -87,3 +87,10 @@ def test_small_learners():
     folds = learn.stratified_folds(np.arange(100) < 20, 5)
     assert all(((folds == f) & (np.arange(100) < 20)).sum() == 4 for f in range(5))
     assert math.isfinite(learn.silhouette(np.random.default_rng(0).random((6, 30)), np.array([0, 0, 1, 1, 2, 2])))
+
+
+def test_rim_keeps_the_border():
+    points = np.random.default_rng(3).random((4000, 2)) * 4
+    some = points[geo.rim(points, 1 / 2.15)]
+    rings = [sorted(map(sorted, geo.boundary(p, geo.alpha_triangles(p)))) for p in (points, some)]
+    assert len(some) < len(points) and rings[0] == rings[1]

@@ -1,9 +1,10 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
-from terrascape.operators import clean, label, sift, subset
+from terrascape.operators import clean, footprints, label, sift, subset
 from terrascape.operators.label import Performance
 from terrascape.plans.landscape import DEFAULT_STAGES, Landscape, Choosing, Preprocessing, Mapping, from_directory
 from terrascape.plans.stage import Stage, StageBuilder, StageResolutionError, StageRunner, StageRunningError
@@ -162,3 +163,11 @@ def test_too_few_features(spark):
 
 def test_csv_failures(spark, tmp_path):
     assert metadata.from_csv(spark, str(tmp_path / "none.csv")) is None
+
+
+def test_footprints_take_all_rows(spark):
+    g = np.random.default_rng(2)
+    z = np.vstack([g.random((24_946, 2)) * 4, g.random((54, 2)) * 0.2 + 8])  # 51 of the 54 are needed for a cluster
+    df = spark.createDataFrame([(i, float(a), float(b), 0, True, True) for i, (a, b) in enumerate(z)], "iid long, z_1 double, z_2 double, algo int, good boolean, best boolean")
+    got = footprints.footprints(df).first()
+    assert len(got.rings) == 2
