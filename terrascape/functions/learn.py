@@ -1,4 +1,4 @@
-"""Small learners in numpy: kernel machines, k-means, silhouettes, nearest neighbours and a genetic search."""
+"""Small learners in numpy: kernel machines, k-means, silhouettes and a genetic search."""
 
 from __future__ import annotations
 
@@ -114,10 +114,14 @@ def kmeans(x: np.ndarray, k: int, tries: int = 100, most: int = 1000, seed: int
 
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     """Mean silhouette of the points with 1 - correlation as distance; 0 for points alone in their cluster."""
-    d = 1 - np.corrcoef(x)
+    return mean_silhouette(1 - np.corrcoef(x), label)
+
+
+def mean_silhouette(d: np.ndarray, label: np.ndarray) -> float:
+    """The same from distances d."""
     out = []
-    for i in range(len(x)):
-        own = (label == label[i]) & (np.arange(len(x)) != i)
+    for i in range(len(d)):
+        own = (label == label[i]) & (np.arange(len(d)) != i)
         if not own.any():
             out.append(0.0)
             continue
@@ -126,18 +130,6 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def knn_error(z: np.ndarray, y: np.ndarray, k: int = 3, folds: int = 5, seed: int = 0) -> float:
-    """Largest, over the columns of y, mean squared error of the mean of the k nearest rows, by cross-validation."""
-    fold = np.random.default_rng(seed).permutation(len(z)) % min(folds, len(z))
-    loss = []
-    for f in range(fold.max() + 1):
-        a, b = fold != f, fold == f
-        d = ((z[b][:, None] - z[a][None]) ** 2).sum(2)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        loss.append(((y[a][near].mean(1) - y[b]) ** 2).mean(0))
-    return float(np.mean(loss, axis=0).max())
-
-
 def genetic(fitness: Callable[[list[tuple[int, ...]]], list[float]], genes: int, high: int, population: int = 50, generations: int = 100, parents: int = 2, elite: int = 2, crossover: float = 0.8, mutation: float = 0.05, tournament: int = 4, patience: int = 5, seed: int = 0) -> tuple[tuple[int, ...], float]:
     """Maximises fitness of whole-number genes: tournaments, scattered crossover, random mutation, elites, and an end after `patience` generations without gain. fitness
     is asked for a whole generation at once, so it can be worked out in parallel."""

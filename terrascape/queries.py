@@ -625,20 +625,19 @@ def a20_trace_summary(spark, d):
 
 @query()
 def m2_kmeans(spark, d):
-    held = sift.sample(_scaled(spark, d), 100_000)
-    c = sift.feature_clusters(held[list(SF)].to_numpy(), 3, tries=10)
+    g, _, _ = project.gram(_scaled(spark, d).df, list(SF))
+    c = sift.feature_clusters(g, 3, tries=10)
     return spark.createDataFrame([(f, int(k)) for f, k in zip(SF, c, strict=True)], "feature string, cluster int")
 
 
 @query()
 def a22_silhouette(spark, d):
-    held = sift.sample(_scaled(spark, d), 100_000)
-    return spark.createDataFrame([(k, s) for k, s in enumerate(sift.silhouette_sweep(held[list(SF)].to_numpy(), tries=5), 2)], "k int, silhouette double")
+    return spark.createDataFrame([(k, s) for k, s in enumerate(sift.silhouette_sweep(*project.gram(_scaled(spark, d).df, list(SF)), tries=5), 2)], "k int, silhouette double")
 
 
 @query()
 def m4_ga(spark, d):
-    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4, tries=5, rows=100_000, population=8, generations=3)
+    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4, tries=5)
     return spark.createDataFrame([(f,) for f in s.chosen], "feature string")
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from terrascape.functions import learn
 from terrascape.operators import clean, footprints, label, sift, subset
 from terrascape.operators.label import Performance
 from terrascape.plans.landscape import DEFAULT_STAGES, Landscape, Choosing, Preprocessing, Mapping, from_directory
@@ -171,3 +172,22 @@ def test_footprints_take_all_rows(spark):
     df = spark.createDataFrame([(i, float(a), float(b), 0, True, True) for i, (a, b) in enumerate(z)], "iid long, z_1 double, z_2 double, algo int, good boolean, best boolean")
     got = footprints.footprints(df).first()
     assert len(got.rings) == 2
+
+
+def test_search_judges_all_rows(spark):
+    g, n = np.random.default_rng(5), 2500
+    x = g.normal(size=(n, 5))
+    x[:, 3:] = x[:, :2] + g.normal(size=(n, 2)) * 0.3
+    y = np.c_[x[:, 0] + x[:, 1] ** 2, x[:, 2] - x[:, 4]]
+    t = make(spark, np.c_[x, y].tolist(), feats=5)
+    found = sift.sift(t, rho=0.0, p=1.0, k=3, tries=5)
+    cols = found.chosen
+    rows = t.df.selectExpr("pmod(xxhash64(iid), 5)", *cols, *t.algos).orderBy("iid").collect()
+    fold, z, y = (np.array([tuple(r) for r in rows])[:, k] for k in (0, slice(1, 1 + len(cols)), slice(1 + len(cols), None)))
+    full = np.c_[z, y]
+    z = z @ sift.project_features(full.T @ full, len(cols)).T
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    d[fold[:, None] == fold[None]] = np.inf
+    lost = (y[np.argsort(d, axis=1)[:, :3]].mean(1) - y) ** 2
+    assert found.fitness == pytest.approx(-np.mean([lost[fold == f].mean(0) for f in range(5)], axis=0).max())
+    assert found.silhouettes[1] == pytest.approx(learn.silhouette(x.T, sift.feature_clusters(x.T @ x, 3, 5)))
