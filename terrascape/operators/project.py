@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bfgs
+from ..session import durable
 from ..sources.metadata import Instances
 
 
@@ -70,14 +72,59 @@ def analytic(t: Instances) -> Projection:
     return _finish(g, s, n, a, v, t)
 
 
-def topology(df: DataFrame, t: Instances, a: np.ndarray, rows: int = 400) -> float:
-    """Correlation of distances in full space and in the projection, over pairs of the `rows` rows with the least hash."""
-    cols = [*t.features, *t.algos]
-    x = np.array([tuple(r) for r in df.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in cols]).isNull()).orderBy(F.xxhash64("iid"), "iid").select(*cols).limit(rows).collect()], float)
-    if len(x) < 3:
-        return float("nan")
-    z, (i, j) = x[:, : len(t.features)] @ a.T, np.triu_indices(len(x), 1)
-    return float(np.corrcoef(np.linalg.norm(x[i] - x[j], axis=1), np.linalg.norm(z[i] - z[j], axis=1))[0, 1])
+def topology(df: DataFrame, t: Instances, planes: list[np.ndarray], block: int = 1000) -> np.ndarray:
+    """For each projection (2 x F) the correlation of distances in full space and in the projection, over all pairs of rows without missing values.
+
+    Rows are packed into blocks of at most `block` a batch; pairs of blocks meet once and give moments of both distances, which are added. The work grows
+    with the square of the number of rows, the memory with a pair of blocks.
+    """
+    cols, f, shape = [*t.features, *t.algos], len(t.features), "id long, x binary, n int"
+    full = df.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in cols]).isNull()).select(*[F.col(c).cast("double") for c in cols])
+    mean = np.array([v or 0.0 for v in full.agg(*[F.avg(c) for c in cols]).first()])
+
+    def pack(batches):
+        for pdf in batches:
+            x = pdf.to_numpy(float) - mean
+            for i in range(0, len(x), block):
+                part = np.ascontiguousarray(x[i : i + block])
+                yield pd.DataFrame({"id": [0], "x": [part.tobytes()], "n": [len(part)]})
+
+    def moments(batches):
+        for pdf in batches:
+            out = []
+            for i, j, x, y in zip(pdf["id"], pdf["id2"], pdf["x"], pdf["y"], strict=True):
+                x, y = (np.frombuffer(v).reshape(-1, len(cols)) for v in (x, y))
+                for k in range(0, len(x), 256):
+                    pairs = np.arange(k, min(k + 256, len(x)))[:, None] < np.arange(len(y))[None] if i == j else np.ones((len(x[k : k + 256]), len(y)), bool)
+                    apart = _apart(x[k : k + 256], y)[pairs]
+                    for c, a in enumerate(planes):
+                        near = _apart(x[k : k + 256, :f] @ a.T, y[:, :f] @ a.T)[pairs]
+                        out.append((c, float(len(apart)), apart.sum(), near.sum(), (apart**2).sum(), (near**2).sum(), (apart * near).sum()))
+            yield pd.DataFrame(out, columns=["c", *"nuvpqr"]).groupby("c", as_index=False).sum()
+
+    blocks = durable(full.mapInPandas(pack, shape).withColumn("id", F.monotonically_increasing_id()))
+    count = blocks.count()
+    lanes = max(1, min(int(count**0.5), 256))  # pairs of lanes are dealt to tasks
+    lane = F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")
+    both = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    left = blocks.select("id", "x", lane.alias("l"), both.alias("m"))
+    right = blocks.select(F.col("id").alias("id2"), F.col("x").alias("y"), lane.alias("m"), both.alias("l"))
+    got = left.join(right, ["l", "m"]).where("id <= id2").select("id", "id2", "x", "y").mapInPandas(moments, "c int, n double, u double, v double, p double, q double, r double")
+    out = np.full(len(planes), np.nan)
+    for row in got.groupBy("c").agg(*[F.sum(k).alias(k) for k in "nuvpqr"]).collect():
+        c, n, u, v, p, q, r = row
+        vx, vz = p / n - (u / n) ** 2 if n else 0.0, q / n - (v / n) ** 2 if n else 0.0
+        if n > 2 and vx > 0 and vz > 0:
+            out[c] = (r / n - u / n * v / n) / (vx * vz) ** 0.5
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all rows of y."""
+    total = np.zeros((len(x), len(y)))
+    for c in range(x.shape[1]):
+        total += (x[:, c, None] - y[None, :, c]) ** 2
+    return np.sqrt(total)
 
 
 def numeric(t: Instances, tries: int = 5, seed: int = 0, alpha: np.ndarray | None = None, starts: np.ndarray | None = None) -> Projection:
@@ -100,6 +147,6 @@ def numeric(t: Instances, tries: int = 5, seed: int = 0, alpha: np.ndarray | Non
     if starts is None:
         starts = 2 * np.random.default_rng(seed).random((2 * m + 2 * f, tries)) - 1
     found = [bfgs(loss, starts[:, k]) for k in range(starts.shape[1])]
-    scores = np.array([topology(t.df, t, split(x)[0]) for x, _ in found])
+    scores = topology(t.df, t, [split(x)[0] for x, _ in found])
     best = int(np.nanargmax(scores)) if np.isfinite(scores).any() else int(np.argmin([v for _, v in found]))
     return _finish(g, s, n, *split(found[best][0]), t, alpha=np.stack([x for x, _ in found], 1), starts=starts, losses=np.array([v for _, v in found]), scores=scores)

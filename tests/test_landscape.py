@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from terrascape.functions import learn
-from terrascape.operators import clean, footprints, label, sift, subset
+from terrascape.operators import clean, footprints, label, project, sift, subset
 from terrascape.operators.label import Performance
 from terrascape.plans.landscape import DEFAULT_STAGES, Landscape, Choosing, Preprocessing, Mapping, from_directory
 from terrascape.plans.stage import Stage, StageBuilder, StageResolutionError, StageRunner, StageRunningError
@@ -191,3 +191,15 @@ def test_search_judges_all_rows(spark):
     lost = (y[np.argsort(d, axis=1)[:, :3]].mean(1) - y) ** 2
     assert found.fitness == pytest.approx(-np.mean([lost[fold == f].mean(0) for f in range(5)], axis=0).max())
     assert found.silhouettes[1] == pytest.approx(learn.silhouette(x.T, sift.feature_clusters(x.T @ x, 3, 5)))
+
+
+def test_topology_takes_all_pairs(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(1500, 5)) * [1, 2, 3, 1, 1]
+    t, a = make(spark, x.tolist(), feats=3), [g.normal(size=(2, 3)) for _ in range(2)]
+    i, j = np.triu_indices(len(x), 1)
+    apart = lambda v: np.linalg.norm(v[i] - v[j], axis=1)
+    want = [np.corrcoef(apart(x), apart(x[:, :3] @ b.T))[0, 1] for b in a]
+    assert project.topology(t.df.repartition(3), t, a, block=200) == pytest.approx(want)
+    scores = project.numeric(t, tries=2)
+    assert scores.scores == pytest.approx([np.corrcoef(apart(x), apart(x[:, :3] @ v[:6].reshape(2, 3).T))[0, 1] for v in scores.alpha.T])
