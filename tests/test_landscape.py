@@ -63,6 +63,12 @@ def test_thinning_is_greedy(spark):
         subset.close_pairs(t, 0.3, "Ftr&&Good")
 
 
+def test_thinning_of_long_chains(spark):
+    t = make(spark, [(k * 0.25, 0.0, 0.0, 0.0) for k in range(2500)])  # each is close to its neighbours only
+    order = sorted((r.iid, r.removed, r.dissimilar) for r in subset.thin(t, 0.3, pairs_a_task=1000).collect())
+    assert [r[1:] for r in order] == [(k % 2 == 1, k % 2 == 0) for k in range(2500)]
+
+
 def test_subsets(spark):
     t = make(spark, [(float(i), 0.0, 1.0, 1.0) for i in range(21)])
     assert subset.fractional(t, 0.5).df.count() == 11
