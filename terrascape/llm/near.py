@@ -195,7 +195,7 @@ def remaining(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent: int) -> DataFrame:
-    """Roots of linked classes: cls, root. nodes: cls, doc_id (whose text stands for the class), sig.
+    """Roots of linked classes: cls, root. nodes: cls, doc_id (whose text stands for the class), text_key (whose text does if there is no id), sig.
 
     Documents are posted under each coordinate-value pair. Values of one class only can't collide and are skipped; a pair
     shares at least least_matches coordinates only if it collides within both prefixes: the n - least_matches + 1 rarest of a
@@ -210,9 +210,15 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     hot = posted.join(counts, ["at", "value"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "at", "value"))).alias("shared"))
     hot = hot.where(F.size("shared") >= matches).select("cls", F.explode(F.slice("shared", F.lit(1), F.size("shared") - matches + 1)).alias("p"))
     lists = stash.keep(hot.select((F.col("p.at").cast("long") * (1 << 32) + F.col("p.value")).alias("list"), "cls"), "postings")
-    wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
+    wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id", "text_key"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
+    bare = wanted.where("digest IS NULL").select("cls", F.col("text_key").alias("digest"))  # classes whose rows all lack an id
+    wanted = wanted.drop("text_key")
     texts = BitmapFilter(wanted, stash).candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), "text"))
-    sets = stash.keep(full_sets(texts.join(wanted.hint("merge"), "digest"), k), "sets")
+    sets = full_sets(texts.join(wanted.hint("merge"), "digest"), k)
+    if not bare.isEmpty():
+        texts = BitmapFilter(bare, stash).candidates(docs.where(F.col("doc_id").cast("long").isNull()).select(F.xxhash64("text").alias("digest"), "text"))
+        sets = sets.unionByName(full_sets(texts.join(bare.hint("merge"), "digest"), k).dropDuplicates(["cls"]))
+    sets = stash.keep(sets, "sets")
 
     lists = lists.join(shared_counts(sets, stash), "cls")
     # the smallest partner that a member can have is the list's smallest, or percent of its own size
@@ -259,7 +265,7 @@ def near_groups(docs: DataFrame, stash: Stash, k: int = 5, percent: int = 85) ->
     empty result; further columns of docs are not read.
     """
     rows = stash.keep(sketches(docs, k), "sketches")
-    nodes = stash.keep(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    nodes = stash.keep(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig")), "classes")
     roots = near_links(nodes, docs, stash, k, percent)
     of_class = nodes.select("cls", "doc_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))

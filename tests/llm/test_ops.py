@@ -154,6 +154,14 @@ def test_near(spark, docs, rows, empty):
     assert near.near_groups(empty, Stash(spark, "t")).count() == 0
 
 
+def test_near_without_id(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(330)]
+    at = lambda a, b: " ".join(w[a:b])
+    rows = [(1, at(0, 100)), (None, at(5, 105)), (2, at(10, 110)), (3, at(200, 300)), (None, at(203, 303)), (None, at(203, 303))]  # 1 and 2 meet through the row between
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Stash(spark, "t")).collect()
+    assert norm((r.doc_id, r.component_id, r.kept) for r in got) == norm([(1, 1, True), (None, 1, False), (2, 1, False), (3, 3, True), (None, 3, False), (None, 3, False)])
+
+
 def test_components(spark):
     b = lambda i: i.to_bytes(2, "big")
     links = spark.createDataFrame([(b(i), b(i + 1)) for i in range(40)] + [(b(100), b(101)), (b(101), b(100))], "a binary, b binary")
