@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed per letter of an item. Items of fewer letters than LEAST can't be told from chance and are not searched.
+#: Edits allowed per letter of an item. Items of fewer letters than LEAST count only without an edit and between word borders.
 ERROR_RATE, LEAST = 0.08, 24
 #: Letters of benchmark items searched at once; more items are searched in further blocks.
 BLOCK_LETTERS = 4_000_000
@@ -59,7 +59,8 @@ class Item:
 
 class Search:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, least: int = LEAST):
-        self.items = [Item(key, t, rate) for key, text in items if len(t := normal(text)) >= max(1, least)]
+        self.items = [Item(key, t, rate if len(t) >= least else 0) for key, text in items if (t := normal(text))]
+        self.least = least
         places: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             for offset, piece in item.pieces():
@@ -82,6 +83,10 @@ class Search:
         found = []
         for n, begins in windows.items():
             item, best = self.items[n], None
+            if item.size < self.least:
+                if ends := [b + item.size for b in begins if _bordered(text, b, b + item.size)]:
+                    found.append((item.key, 0, min(ends)))
+                continue
             for a, b in _joined(begins, item.size + 2 * item.budget):
                 errors, at = item.search(text[max(0, a) : max(0, b)])
                 if errors <= item.budget and (best is None or errors < best[0]):
@@ -91,6 +96,11 @@ class Search:
         return sorted(found)
 
 
+def _bordered(text: str, a: int, b: int) -> bool:
+    """Whether no word of text runs over the ends of text[a:b]."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 def _joined(begins: list[int], size: int) -> Iterator[tuple[int, int]]:
     """Windows of one size as few that do not meet, in order."""
     begins.sort()
@@ -114,9 +124,10 @@ def _loaded(items: list[tuple[int, str]], rate: float, least: int) -> Search:
     return _SEARCHES[key]
 
 
-def item_blocks(benchmark: DataFrame, block_letters: int = BLOCK_LETTERS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of about block_letters letters, each of which fits a worker. Null ids and texts are left out."""
-    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+def item_blocks(benchmark: DataFrame, block_letters: int = BLOCK_LETTERS, bare: bool = False) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's rows in blocks of about block_letters letters, each of which fits a worker. Null texts are left out, null ids too unless bare (they count as 0)."""
+    known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    known = known.fillna(0, ["item_id"]) if bare else known.where("item_id IS NOT NULL")
     letters = known.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // block_letters))
     for b in range(blocks):
@@ -127,6 +138,7 @@ def item_blocks(benchmark: DataFrame, block_letters: int = BLOCK_LETTERS) -> Ite
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """doc_id, item_id, errors, match_end: each benchmark item that stands in a row's text with at most rate * letters edits.
 
+    Items of fewer than least letters (after normalising) must stand there unchanged, between word borders. Items without an id are left out.
     Case and the kind and amount of white space don't count. errors is the least number of edits, match_end the end of the first such
     place in the normalised text. A null or empty text has no match; a row that repeats gives its matches again; an
     item that repeats under one id gives one match a copy; empty tables give an empty result.
@@ -147,8 +159,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark item stands."""
-    for items in item_blocks(benchmark, block_letters):
+    """The rows of docs, all columns, in which no benchmark item stands, be it one without an id."""
+    for items in item_blocks(benchmark, block_letters, bare=True):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             search = _loaded(items, rate, least)

@@ -315,6 +315,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_short_and_bare_items(spark):
+    bare = "an item that has no id but is quite long"
+    bench = spark.createDataFrame([(1, "Tiny  Item"), (None, bare)], "item_id long, text string")
+    docs = docs_of(spark, [(1, "a tiny item, here", "s"), (2, "a tiny items", "s"), (3, f"so: {bare}!", "s"), (4, "clean", "s")])
+    assert [tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 1, 0, 11)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaked(docs, bench).collect()) == [2, 4]
+
+
 def base_plain(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
