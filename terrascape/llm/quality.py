@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import buffers, slices
+from .labels import labelled_sample
+from .textkit import buffers, release, slices
 
 #: Bytes of one chunk and how far chunks are apart: each byte stands in two chunks.
 CHUNK, STRIDE = 256, 128
@@ -69,13 +70,22 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping chunks that cover each text whole, and the index of each text's first; an empty text has one chunk of padding."""
-    sizes = np.diff(offsets)
-    n = np.maximum(1, -(-(sizes - CHUNK) // STRIDE) + 1)
+#: Chunks that are spread out at once.
+BLOCK = 1024
+
+
+def chunk_counts(offsets: np.ndarray) -> np.ndarray:
+    """Number of overlapping chunks that cover each text whole; an empty text has one, of padding."""
+    return np.maximum(1, -(-(np.diff(offsets) - CHUNK) // STRIDE) + 1)
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks start..stop of all texts' chunks, and the index of each text's first."""
+    n = chunk_counts(offsets)
     first = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(sizes)), n)
-    begin = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STRIDE
+    which = np.arange(start, int(n.sum()) if stop is None else stop)
+    owner = np.searchsorted(first, which, "right") - 1
+    begin = offsets[:-1][owner] + (which - first[owner]) * STRIDE
     at = begin[:, None] + np.arange(CHUNK)
     inside = at < offsets[1:][owner][:, None]
     codes = np.full(at.shape, 256, np.int16)
@@ -84,12 +94,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
+    """Probability of each text, whole; memory beside the text itself is that of BLOCK chunks and one number a chunk."""
     data, offsets = buffers(texts)
     if not len(texts):
         return np.zeros(0)
-    codes, first = chunks(data, offsets)
-    logits = np.concatenate([net.logits(codes[i : i + 512]) for i in range(0, len(codes), 512)])
-    return net.combine(logits, first)
+    n = chunk_counts(offsets)
+    total = int(n.sum())
+    logits = np.concatenate([net.logits(chunks(data, offsets, i, min(total, i + BLOCK))[0]) for i in range(0, total, BLOCK)])
+    return net.combine(logits, np.cumsum(n) - n)
 
 
 def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, chunks_per_text: int = 8, rate: float = 0.01) -> Network:
@@ -101,7 +113,7 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
         net.head = np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))])
         return net
     data, offsets = buffers(pa.array(texts, pa.string()))
-    n = np.maximum(1, -(-(np.diff(offsets) - CHUNK) // STRIDE) + 1)
+    n = chunk_counts(offsets)
     g = np.random.default_rng(seed)
     some = [np.arange(k) if k <= chunks_per_text else np.sort(g.choice(k, chunks_per_text, replace=False)) for k in n]
     codes = np.concatenate([chunks(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0][s] for i, s in enumerate(some)])
@@ -154,24 +166,26 @@ def train(texts: list[str], good: list[int], seed: int = 5, passes: int = 10, ch
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), train_rows: int = 3000, longest: int = 32_768) -> str:
-    """A network from at most train_rows labelled rows, half of each class, as text. Rows whose crc32(doc_id) modulo fold[0] is fold[1] are never learned from, nor are texts of more than `longest` bytes, so that the sample is bounded."""
-    mine = labels.where(F.col("quality").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) != fold[1]))
-    mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    halves = [mine.where(F.col("quality") == c).orderBy(order, "doc_id").limit(train_rows // 2) for c in (0, 1)]
-    chosen = F.broadcast(halves[0].unionByName(halves[1]))  # at most train_rows ids
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.where(F.octet_length("text") <= longest).join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(train_rows).collect()
-    return train([r.text for r in rows], [r.quality for r in rows]).dump()
+    """A network from at most train_rows labelled rows (see labelled_sample), as text.
+
+    Without labelled rows of both classes, or with an empty table, it scores every text alike, by the share of good rows.
+    """
+    rows = labelled_sample(docs, labels, "quality", fold, train_rows, longest)
+    return train([t for t, _ in rows], [c for _, c in rows]).dump()
 
 
 def quality_scores(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, score of each row, whole texts; null and empty texts score as a chunk of padding."""
+    """doc_id, score of each row, whole texts.
+
+    Null and empty texts score as a chunk of padding. Rows that repeat, or lack an id, are scored as any other; an empty table gives
+    an empty result; further columns of docs are not read. Texts are taken in slices of about 1 MB; a longer one alone, in blocks of its chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(model)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score_texts(net, part.column("text")), pa.float64())], ["doc_id", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

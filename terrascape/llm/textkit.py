@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 #: Words are runs of other bytes than these; all are ASCII, so UTF-8 bytes can be split directly.
 BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 #: The same as a pattern, for Spark SQL and DuckDB.
@@ -119,5 +126,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
 
 
 def release() -> None:
-    """Gives unused memory of Arrow's pool back, so that idle workers hold little."""
+    """Gives unused memory of Arrow's pool and of the C library back, so that idle workers hold little."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)

@@ -425,6 +425,61 @@ def test_kernel_counts_gapped_triples():
         assert {int(i) for i, r in zip(at, k ** (1 / toxicity.POWER)) if r.max() > least + 1e-6} <= near_
 
 
+def test_likeness_against_a_plain_count():
+    def plain(word):
+        marked, found = "^" + word + "$", defaultdict(float)
+        for i, j, k in itertools.combinations(range(len(marked)), 3):
+            if k - i < toxicity.SPAN:
+                found[marked[i] + marked[j] + marked[k]] += toxicity.DECAY ** (k - i - 2)
+        return found
+
+    def likeness(a, b):
+        x, y = plain(a), plain(b)
+        return sum(x[t] * y.get(t, 0) for t in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+    g = random.Random(4)
+    marks = ["idiot", "worthless", "aaab"]
+    words = ["idiot", "idxiot", "i", "worthles", *("".join(g.choice("aidotb") for _ in range(g.randint(1, 8))) for _ in range(200))]
+    base = toxicity.Landmarks(marks)
+    for least in (0.0, toxicity.LEAST):
+        at, k = base.kernel(words, least)
+        got = np.zeros((len(words), 3))
+        got[at] = k
+        want = np.array([[v**toxicity.POWER if (v := likeness(w, m)) > least else 0 for m in marks] for w in words])
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_sentences():
+    import pyarrow as pa
+
+    part = toxicity.Sentences(pa.array(["One two. three\n\nfour! five", None, "", " ".join("abc" for _ in range(100)), "say i d i o t\tnow"]))
+    words = [[part.word(i) for i in np.flatnonzero(part.sentence == s)] for s in range(len(part.row))]
+    assert words[:4] == [["one", "two."], ["three"], ["four!"], ["five"]] and [len(w) for w in words[4:]] == [40, 40, 20, 7]
+    assert part.row.tolist() == [0, 0, 0, 0, 3, 3, 3, 4] and part.spelled == [(7, "idiot")]
+    m = toxicity.summary(np.array([2.0, -1.0, 5.0]), np.array([0, 0, 2]), np.array([10, 0, 4]), -1.0)
+    assert m[:, 0].tolist() == [2, -1, 4] and m[:, 1].tolist() == [-1, -1, -1] and m[2, 2] > m[0, 2] > m[1, 2]
+
+
+@pytest.mark.parametrize(("sf", "precision", "recall"), [("sf0.01", 0.9, 0.75), ("sf0.1", 0.9, 0.8)])
+def test_toxicity_held_out(spark, sf, precision, recall):
+    from terrascape.llm import queries
+
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("toxic IS NOT NULL")
+    got = queries.op8_toxicity(spark, f"/root/testdata/{sf}").where("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").collect()
+    hits = sum(r.predicted and r.toxic for r in got)
+    assert hits / sum(r.predicted for r in got) >= precision and hits / sum(r.toxic for r in got) >= recall
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_held_out(spark, sf):
+    from terrascape.llm import queries
+
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("quality IS NOT NULL")
+    got = queries.op3_quality(spark, f"/root/testdata/{sf}").where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in got) / len(got) >= 0.95
+
+
 def test_learning_from_tables(spark, docs, rows, empty):
     data = labelled(240)
     table = docs_of(spark, [(i, t, "s") for i, (t, _) in enumerate(data)])
@@ -439,6 +494,10 @@ def test_learning_from_tables(spark, docs, rows, empty):
     got = quality.quality_scores(docs, net).collect()
     assert norm(r.doc_id for r in got) == norm(d for d, _, _ in rows) and all(0 <= r.score <= 1 for r in got)
     assert quality.quality_scores(empty, net).count() == 0
+    twice = table.unionByName(table.where("doc_id < 40"))  # repeated ids, an empty and a null text, a very long one
+    twice = twice.unionByName(docs_of(spark, [(1, "", "s"), (2, None, "s"), (7, "x" * 300_000 + " " + "idiot " * 9000, "s"), (None, "idiot " * 20, "s")]))
+    for score in (toxicity.toxicity_scores(twice, toxicity.learn(twice, labels)), quality.quality_scores(twice, quality.learn(twice, labels))):
+        assert score.count() == twice.count() and score.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
     assert toxicity.learn(table, labels.where("false")) and quality.learn(table, labels.where("false"))
 
 
