@@ -225,52 +225,76 @@ def test_substring_collisions_are_judged_by_words(spark, docs, rows, monkeypatch
     assert norm(map(tuple, got.collect())) == repeats_plain(rows, 13)
 
 
-def test_scoring(spark, docs, rows, empty):
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.held_out, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scoring.lm_scores(docs, Stash(spark, "t")).collect())
+def backoff_plain(rows, order, support, trust=8.0):
+    """Chances word by word from plain counters: of a learned n-gram whose context was seen often enough, else of the shorter context's failure."""
     token = [["\0", *split(t, True), "\1"] for _, t, _ in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _, _ in rows]
-    c, two, ctx = Counter(), Counter(), Counter()
+    seen = Counter()
     for w, h in zip(token, held, strict=True):
         if not h:
-            c.update(w[1:])
-            two.update(zip(w, w[1:]))
-            ctx.update(w[:-1])
-    n, v = sum(c.values()), len(c)
-    want = []
+            seen.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    n = sum(c for g, c in seen.items() if len(g) == 1 and g != ("\0",))
+    v = sum(len(g) == 1 and g != ("\0",) for g in seen)
+
+    def chance(context, t):
+        if not context:
+            return (seen[(t,)] + 0.5) / (n + 0.5 * (v + 1))
+        lower = chance(context[1:], t)
+        return (seen[(*context, t)] + trust * lower) / (seen[context] + trust) if seen[context] >= support else lower
+
+    out = []
     for (d, _, _), w, h in zip(rows, token, held, strict=True):
-        base = score = 0.0
-        for a, t in zip(w, w[1:]):
-            p = (c[t] + 0.5) / (n + 0.5 * (v + 1))
-            base += np.log10(p)
-            score += np.log10((two[a, t] + 8 * p) / (ctx[a] + 8) if ctx[a] else p)
-        want.append((d is None, d or 0, len(w) - 1, h, sum(c[t] > 0 for t in w[1:]), n, round(float(base), 6), round(float(score), 6)))
+        base = sum(np.log10(chance((), t)) for t in w[1:])
+        score = sum(np.log10(chance(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w)))
+        out.append((d is None, d or 0, len(w) - 1, h, sum(seen[(t,)] > 0 for t in w[1:]), n, round(float(base), 6), round(float(score), 6)))
+    return sorted(out), chance
+
+
+@pytest.mark.parametrize(("order", "support"), [(2, 1), (3, 2), (4, 2)])
+def test_scoring(spark, docs, rows, empty, order, support, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(scoring, "BUCKET_BYTES", 3000)
+    got = scoring.lm_scores(docs, Stash(spark, "t"), order=order, support=support).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.held_out, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    want, _ = backoff_plain(rows, order, support)
     assert len(got) == len(want)
-    for x, y in zip(got, sorted(want), strict=True):
+    for x, y in zip(got, want, strict=True):
         assert x[:6] == y[:6] and x[6:] == pytest.approx(y[6:], abs=1e-4)
-    assert scoring.lm_scores(empty, Stash(spark, "t")).count() == 0
+    assert scoring.lm_scores(empty, Stash(spark, "t"), order=order).count() == 0
 
 
 def test_scoring_model_is_a_distribution():
-    """After one word, the chances of all known words, the end and one unknown word add up to 1."""
+    """After any words, the chances of all known words, the end and one unknown word add up to 1."""
+    rows = [(None, t, "s") for t in ("a b a c", "b a", "c c c a b a b a", "a b a c")]
+    _, chance = backoff_plain(rows, 3, 2)
+    for context in ((), ("a",), ("\0", "a"), ("a", "b"), ("b", "a"), ("zzz", "a")):
+        assert sum(chance(context, t) for t in ["a", "b", "c", "\1", "zzz"]) == pytest.approx(1.0)
+
+
+def test_automaton_carries_its_state():
+    """The walk by lanes of any length, and by hand through the arcs, ends in the same sums; failure arcs lead to shorter contexts."""
     import pyarrow as pa
 
-    part = scoring.Chunk(iter([pa.array(["a b a c", "b a", "c c c a b"])]), 2)
-    counts = part.counts(np.ones(3, bool))
-    total, kinds = 14, 4
-
-    def log(text):
-        probe = scoring.Chunk(iter([pa.array([text])]), 2)
-        found = []
-        for d, mine, n in zip(part.distinct, probe.distinct, counts, strict=True):
-            at = np.minimum(np.searchsorted(d, mine), len(d) - 1)
-            found.append(np.where(d[at] == mine, n[at], 0))
-        return probe.traverse(found, total, kinds, 8.0)[3][0]
-
-    # p(b w END) / p(w END after w) is left after division by the known chance of END after w, so compare whole chains
-    end_after = {w: (two + 8 * (3 + 0.5) / (total + 2.5)) / (c + 8) for w, two, c in (("a", 1, 4), ("b", 1, 3), ("c", 1, 4))}
-    start = (1 + 8 * (3 + 0.5) / (total + 2.5)) / (3 + 8)
-    chance = 10 ** log("b") + sum(10 ** log(f"b {w}") / end_after[w] for w in "abc") + 10 ** log("b zzz") / ((3 + 0.5) / (total + 2.5))
-    assert chance / start == pytest.approx(1.0)
+    g = random.Random(6)
+    texts = [" ".join(g.choice("abcdef") for _ in range(g.choice([0, 1, 5, 60, 300]))) for _ in range(30)]
+    chunk = scoring.Chunk(iter([pa.array(texts)]))
+    counts = []
+    for k in range(1, 4):
+        chunk.add_level()
+        counts.append(chunk.counts(k, np.arange(30) % 5 != 1))
+    total = int(counts[0][chunk.distinct[0] != np.uint64(scoring.BEGIN)].sum())
+    machine = scoring.Automaton(chunk, counts, total, 7, 8.0, 2)
+    assert (machine.fail[1:] < np.arange(1, len(machine.fail))).all() and (machine.fail_weight <= 0).all()
+    token, sums = chunk.index[0], []
+    for r in range(30):
+        state, log = 0, 0.0
+        for i, t in enumerate(token[chunk.rows == r].tolist()):
+            while (place := int(np.searchsorted(machine.key, state << 32 | t))) == len(machine.key) or machine.key[place] != state << 32 | t:
+                log, state = log + machine.fail_weight[state] * (i > 0), int(machine.fail[state])
+            log, state = log + machine.weight[place] * (i > 0), int(machine.to[place])
+        sums.append(log)
+    for lane in (1, 2, 3, 50, 1000):
+        assert machine.walk(chunk, lane) == pytest.approx(sums)
 
 
 def decontaminate_plain(item, text, rate):
