@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .exact import BitmapFilter
 from .store import Stash
-from .substring import BUCKET_BYTES, ENTRY, MEMTABLE, cut, entries, read_entries
+from .substring import BUCKET_BYTES, ENTRY, MEMTABLE, entries, read_entries
 from .textkit import buffers, mix, ngrams, release, slices, word_hashes, words
 
 #: Coordinates of a signature, and how likely a pair at the threshold may be to share too few of them.
@@ -107,7 +107,7 @@ def shared_counts(sets: DataFrame, stash: Stash) -> DataFrame:
         for batch in batches:
             for key, grams in zip(batch.column("key").to_pylist(), batch.column("grams"), strict=True):
                 grams = np.frombuffer(grams.as_buffer(), np.uint64)
-                held.append((cut(grams), np.full(len(grams), key, np.int64)))
+                held.append((grams, np.full(len(grams), key, np.int64)))
                 count += len(grams)
                 if count >= MEMTABLE:
                     yield from entries(*map(np.concatenate, zip(*held, strict=True)), buckets, False)

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Stash
-from .textkit import buffers, mix, release, slices, word_hashes, words
+from .textkit import buffers, grow, grow_sorted, mix, release, shrink, shrink_sorted, slices, word_hashes, words
 
 #: Text bytes of one chunk of documents, and of the counts that meet in one bucket.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
@@ -180,16 +179,6 @@ def _indexed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[head], index
 
 
-def _shrink(values: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of equal place, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _grow(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
-
-
 def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Cuts of sorted hashes at the buckets' borders, which are even."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -210,7 +199,7 @@ def _table(rows: list[tuple], names: str, kinds: tuple) -> pa.Table:
 def _told(right: pa.Table, k: int) -> np.ndarray:
     """Counts that came back for the distinct n-grams of length k, in their order."""
     back = sorted((r for r in right.to_pylist() if r["k"] == k), key=lambda r: r["bucket"])
-    return np.concatenate([np.zeros(0, np.int64), *(_grow(r["counts"]).astype(np.int64) for r in back)])
+    return np.concatenate([np.zeros(0, np.int64), *(grow(r["counts"]).astype(np.int64) for r in back)])
 
 
 def _read(left: pa.Table, right: pa.Table | None, levels: int, support: int) -> tuple[Chunk, list[np.ndarray]]:
@@ -260,7 +249,7 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
             cuts = _cuts(grams, buckets)
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[i], cuts[i + 1]
-                out.append((i, name, k, _shrink(np.diff(grams[a:b], prepend=np.uint64(0))), _shrink(counts[a:b])))
+                out.append((i, name, k, shrink_sorted(grams[a:b]), shrink(counts[a:b])))
         release()
         return _table(out, "bucket chunk k grams counts", (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
@@ -268,12 +257,12 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
         out = []
         for k in sorted(set(table.column("k").to_pylist())):
             asked = [r for r in table.to_pylist() if r["k"] == k]
-            grams = [np.cumsum(_grow(r["grams"]), dtype=np.uint64) for r in asked]
+            grams = [grow_sorted(r["grams"]) for r in asked]
             distinct, place = _indexed(np.concatenate(grams))
-            total = np.bincount(place, np.concatenate([_grow(r["counts"]) for r in asked]).astype(np.float64), len(distinct)).astype(np.int64)
+            total = np.bincount(place, np.concatenate([grow(r["counts"]) for r in asked]).astype(np.float64), len(distinct)).astype(np.int64)
             at = 0
             for r, g in zip(asked, grams, strict=True):
-                out.append((r["bucket"], r["chunk"], k, _shrink(total[place[at : at + len(g)]]), 0, 0))
+                out.append((r["bucket"], r["chunk"], k, shrink(total[place[at : at + len(g)]]), 0, 0))
                 at += len(g)
             if k == 1:
                 real = distinct != np.uint64(BEGIN)

@@ -29,19 +29,29 @@ class Stash:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back. Shuffle files of the write go when it ends, where Spark can do so."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes df and reads it back. Shuffle files of the write go when it ends, where Spark can do so. by: a column whose values get folders of their own (see part)."""
         path, key = self.path(name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out
 
+    def part(self, kept: DataFrame, by: str, value: str) -> DataFrame:
+        """The rows of one value of a table that was kept by that column, without the column; drop() deletes them alone."""
+        path = f"{kept._stash_path}/{by}={value}"
+        schema = kept.drop(by).schema
+        here = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        exists = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
+        out = self.spark.read.schema(schema).parquet(path) if exists else self.spark.createDataFrame([], schema)
+        out._stash_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark._jvm

@@ -13,37 +13,24 @@ from pyspark.sql import functions as F
 
 from .exact import BitmapFilter
 from .store import Stash
-from .textkit import buffers, ngrams, slices, word_hashes, words
+from .textkit import buffers, grow_sorted, ngrams, release, shrink_sorted, slices, word_hashes, words
 
-#: Bytes of a window's fingerprint in the index, and entries that a memtable holds.
-FINGERPRINT, MEMTABLE = 6, 1 << 19
+#: Entries that a memtable holds.
+MEMTABLE = 1 << 19
 #: Text bytes of one bucket's windows and of one chunk of documents.
 BUCKET_BYTES = 8 << 20
+#: Passages that are held against one copy of the document that has them first, and doubted windows that are looked up at once.
+PORTION, DOUBTS = 500, 1 << 20
 
 ENTRY = "bucket int, run boolean, fps binary, ranks binary, ids binary"
 
 
-def pack(fps: np.ndarray) -> bytes:
-    """The upper FINGERPRINT bytes of sorted 64-bit hashes."""
-    return fps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // FINGERPRINT, 8), np.uint8)
-    out[:, :FINGERPRINT] = np.frombuffer(data, np.uint8).reshape(-1, FINGERPRINT)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
-def cut(h: np.ndarray) -> np.ndarray:
-    return h & np.uint64((1 << 64) - (1 << 8 * (8 - FINGERPRINT)))
-
-
 def windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, word starts, ends and rows, window fingerprints, and the word that each window starts with."""
     data, offsets = buffers(texts)
     starts, ends, rows = words(data, offsets)
     fps, at = ngrams(word_hashes(data, starts, ends), rows, k)
-    return data, starts, ends, rows, cut(fps), at
+    return data, starts, ends, rows, fps, at
 
 
 def _bucket(fps: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,7 +48,7 @@ def entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Iterat
     """Entries sorted by fingerprint, cut by bucket; of a run, each fingerprint once with its least id. Ids of a piece stand as ranks in its list of ids."""
     if not len(fps):
         return
-    order = np.argsort(fps)
+    order = np.argsort(fps, kind="stable")  # of sorted runs, a natural merge
     fps, ids = fps[order], ids[order]
     if run:
         first, _ = _groups(fps)
@@ -75,14 +62,14 @@ def entries(fps: np.ndarray, ids: np.ndarray, buckets: int, run: bool) -> Iterat
             own = np.unique(ids[i:j])
             rank = np.searchsorted(own, ids[i:j])
             kind = np.uint16 if len(own) < 1 << 16 else np.uint32
-            rows.append((int(b[x]), run, pack(fps[i:j]), rank.astype(kind).tobytes(), np.diff(own, prepend=0).astype(np.int64).tobytes()))
+            rows.append((int(b[x]), run, shrink_sorted(fps[i:j]), rank.astype(kind).tobytes(), np.diff(own, prepend=0).astype(np.int64).tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "run", "fps", "ranks", "ids"])
 
 
 def read_entries(table: pa.Table, run: bool) -> tuple[np.ndarray, np.ndarray]:
     fps, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in table.filter(pa.array([x == run for x in table.column("run").to_pylist()], pa.bool_())).to_pylist():
-        f, own = unpack(r["fps"]), np.cumsum(np.frombuffer(r["ids"], np.int64))
+        f, own = grow_sorted(r["fps"]), np.cumsum(np.frombuffer(r["ids"], np.int64))
         fps.append(f)
         ids.append(own[np.frombuffer(r["ranks"], np.uint16 if len(own) < 1 << 16 else np.uint32)])
     return np.concatenate(fps), np.concatenate(ids)
@@ -156,7 +143,7 @@ class WindowIndex:
         buckets, chunks = self.buckets, self.chunks
         history = self.memtables(docs)
         for r in self.runs:
-            history = history.unionByName(r, allowMissingColumns=True)
+            history = history.unionByName(r.select("bucket", "run", "fps", "ranks", "ids"), allowMissingColumns=True)
 
         def merge(table: pa.Table) -> pa.Table:
             bucket = table.column("bucket")[0].as_py()
@@ -171,7 +158,7 @@ class WindowIndex:
             fps, ids = np.concatenate([old, new]), np.concatenate([old_ids, new_ids])
             fresh = np.r_[np.zeros(len(old), bool), np.ones(len(new), bool)]
             del old, new, old_ids, new_ids
-            order = np.argsort(fps)
+            order = np.argsort(fps, kind="stable")  # a natural merge: each entry is a sorted run
             fps, ids, fresh = fps[order], ids[order], fresh[order]
             first, group = _groups(fps)
             least = np.minimum.reduceat(ids, first)
@@ -183,26 +170,34 @@ class WindowIndex:
                     out += [(*r.values(), None, None, None) for r in b.to_pylist()]
             return _merged(out)
 
-        found = self.stash.keep(history.groupBy("bucket").applyInArrow(merge, _MERGED), "merged")
+        found = self.stash.keep(history.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, _MERGED), "merged", by="run")
         if flush:
-            self.runs.append(found.where("run").select("bucket", "run", "fps", "ranks", "ids"))
+            self.runs.append(self.stash.part(found, "run", "true").withColumn("run", F.lit(True)))
+            self.runs[-1]._stash_path = f"{found._stash_path}/run=true"
             if len(self.runs) >= self.fanout:
                 self.compact()
-        return found.where("NOT run").select("chunk", "hits", "first")
+        return self.stash.part(found, "run", "false").select("chunk", "hits", "first")
+
+    def close(self) -> None:
+        """Deletes the runs."""
+        self.stash.drop(*self.runs)
+        self.runs = []
 
     def compact(self) -> None:
         """Merges all runs into one that keeps the least identifier of each fingerprint."""
         if len(self.runs) < 2:
             return
         buckets = self.buckets
-        both = self.runs[0]
-        for r in self.runs[1:]:
-            both = both.unionByName(r)
+        old = self.runs
+        both = old[0].select("bucket", "run", "fps", "ranks", "ids")
+        for r in old[1:]:
+            both = both.unionByName(r.select(*both.columns))
 
         def merge(table: pa.Table) -> pa.Table:
             return pa.Table.from_batches(list(entries(*read_entries(table, True), buckets, True)))
 
-        self.runs = [self.stash.keep(both.groupBy("bucket").applyInArrow(merge, ENTRY), "run")]
+        self.runs = [self.stash.keep(both.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, ENTRY), "run")]
+        self.stash.drop(*old)
 
 
 def prime_from(n: int) -> int:
@@ -229,13 +224,20 @@ def _hits(fps: np.ndarray, ids: np.ndarray, first: np.ndarray, chunks: int) -> I
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, passages array<struct<first: long, passage: string>>"
 
 
-def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: dict[str, int] | None = None, doubted: list[int] | None = None) -> DataFrame:
-    """Removes words of hit windows. exact: for windows whose fingerprint is doubted, the least doc_id by their very words."""
-    doubts = np.array(sorted(doubted or []), np.uint64)
+_HITS = "chunk int, hits binary, first binary, fp long, words string, least long"
+
+
+def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: DataFrame | None = None) -> DataFrame:
+    """Removes words of hit windows. exact: chunk, fp, words, least: of windows whose fingerprint is doubted, the least doc_id by their very words."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        fps = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in right.column("hits").to_pylist())])
-        first = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(h, np.int64) for h in right.column("first").to_pylist())])
+        plain, sure = right.column("hits").is_valid(), right.column("words").is_valid()
+        found_hits = right.filter(plain)
+        fps = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in found_hits.column("hits").to_pylist())])
+        first = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(h, np.int64) for h in found_hits.column("first").to_pylist())])
+        by_words = right.filter(sure)
+        doubts = np.unique(by_words.column("fp").to_numpy().view(np.uint64)) if by_words.num_rows else np.zeros(0, np.uint64)
+        exact_first = dict(zip(by_words.column("words").to_pylist(), by_words.column("least").to_pylist(), strict=True))
         order = np.argsort(fps)
         fps, first = fps[order], first[order]
         if len(fps):  # a memtable and a bucket may both have answered
@@ -255,8 +257,8 @@ def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: dict[st
                 if len(doubts):
                     for i in np.flatnonzero(np.isin(found, doubts)):
                         a = at[i]
-                        text = b" ".join(data[s:e].tobytes() for s, e in zip(starts[a : a + k], ends[a : a + k], strict=True)).decode()
-                        source[i] = exact.get(text, np.iinfo(np.int64).max)
+                        text = _said(data, starts, ends, a, k)
+                        source[i] = exact_first.get(text, np.iinfo(np.int64).max)
                         hit[i] = True
                 hit &= (source < ids_np[rows[at]]) & known[rows[at]]
                 covered = np.zeros(len(starts) + 1, np.int64)
@@ -280,68 +282,107 @@ def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: dict[st
                     spans = zip(np.r_[0, edge], np.r_[edge, len(stay)], strict=True) if len(stay) else []
                     kept = b" ".join(w for x, y in spans for w in data[starts[stay[x]] : ends[stay[y - 1]]].tobytes().split())
                     out.append((ids[i].as_py(), int(b - a), int(b - a - len(stay)), hashlib.sha256(kept).hexdigest(), said.get(i, [])))
+        release()
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("passage", pa.string())])))
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "passages"])
 
-    left = docs.select(F.col("doc_id").cast("long"), "text").withColumn("chunk", F.coalesce(F.pmod("doc_id", F.lit(chunks)), F.lit(0)).cast("int"))
-    return left.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(join, _RESULT)
-
+    of = F.coalesce(F.pmod("doc_id", F.lit(chunks)), F.pmod(F.xxhash64("text"), F.lit(chunks)))  # rows without an id have no hits and go anywhere
+    left = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("chunk", of.cast("int"))
+    right = hits.select("chunk", "hits", "first", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("words"), F.lit(None).cast("long").alias("least"))
+    if exact is not None:
+        right = right.unionByName(exact.select("chunk", "fp", "words", "least"), allowMissingColumns=True)
+    return left.repartition(chunks, "chunk").groupBy("chunk").cogroup(right.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(join, _RESULT)
 
-def remove_repeats(docs: DataFrame, stash: Stash, k: int = 13, history: float = 0.25) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row of docs.
 
-    A word goes if it is covered by a window of k words that also starts in a row with a smaller doc_id; windows are judged on the
-    input. Words are those of textkit.WORD, unchanged; a null or empty text has none; texts shorter than k words keep
-    all. Rows with equal ids don't remove each other's words; a row without an id keeps all of its words and removes none.
-    Empty tables give an empty result; further columns of docs are not read.
+def _said(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, k: int) -> str:
+    return b" ".join(data[s:e].tobytes() for s, e in zip(starts[a : a + k], ends[a : a + k], strict=True)).decode()
 
-    The `history` share of ids comes first and is flushed as a run; the rest is merge-joined with it. Each passage that goes is then
-    held word by word against the document said to have it first; windows of passages that fail are judged again by their very words.
-    """
-    size = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", F.lit(history), F.lit(1000))).first()
-    parts = max(1, -(-(size[0] or 0) // BUCKET_BYTES))
-    chunks = prime_from(parts)
-    index = WindowIndex(stash, k, parts, chunks)
-    hits = index.add(docs.where(F.col("doc_id") <= size[1]))
-    hits = hits.unionByName(index.add(docs.where(F.col("doc_id") > size[1]), flush=False))
-    out = stash.keep(_judge(docs, hits, k, chunks), "judged")
 
-    said = out.select("doc_id", F.explode("passages").alias("p")).select(F.col("p.first").alias("digest"), "p.passage").distinct()
+def _unheld(said: DataFrame, docs: DataFrame, stash: Stash) -> DataFrame:
+    """Of rows digest (a doc_id), passage: those whose passage does not stand in that document, word for word. Each document meets at most some PORTION passages at once."""
     named = BitmapFilter(said.select("digest").distinct(), stash)
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), F.lit(" "))
     texts = named.candidates(docs.select(F.col("doc_id").cast("long").alias("digest"), plain.alias("plain")))
+    many = stash.keep(said.groupBy("digest").count().where(F.col("count") > PORTION).select("digest", F.ceil(F.col("count") / PORTION).cast("int").alias("portions")), "many")
+    many = F.broadcast(many) if many.count() <= 100_000 else many
+    portions = F.coalesce("portions", F.lit(1))
+    said = said.join(many, "digest", "left").withColumn("portion", F.pmod(F.xxhash64("passage"), portions).cast("int")).drop("portions")
+    texts = texts.join(many, "digest", "left").withColumn("portion", F.explode(F.sequence(F.lit(0), portions - 1))).drop("portions")
     holds = F.coalesce(F.max(F.contains("plain", F.concat(F.lit(" "), F.col("passage"), F.lit(" ")))), F.lit(False))
-    wrong = said.join(texts.hint("merge"), "digest", "left").groupBy("digest", "passage").agg(holds.alias("holds")).where("NOT holds")
-    wrong = stash.keep(wrong, "wrong")
-    if not wrong.isEmpty():
-        doubted = _window_fps(wrong, k)
-        exact = _exact_firsts(docs, doubted, k)
-        out = _judge(docs, hits, k, chunks, exact, doubted)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    held = said.join(texts.hint("merge"), ["digest", "portion"], "left").groupBy("digest", "portion", "passage").agg(holds.alias("holds"))
+    return stash.keep(held.where("NOT holds").select("digest", "passage"), "unheld")
+
 
+def _windows_of(passages: DataFrame, k: int) -> DataFrame:
+    """digest, passage -> digest, passage (each window of k words of it once), fp."""
 
-def _window_fps(wrong: DataFrame, k: int) -> list[int]:
-    """Fingerprints of all windows of passages that failed verification; their number is that of hash collisions, not of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(windows(batch.column("passage"), k)[4]).view(np.int64), pa.int64())], ["fp"])
+            for digest, passage in zip(batch.column("digest").to_pylist(), batch.column("passage"), strict=True):
+                data, starts, ends, _, fps, at = windows(pa.array([passage.as_py()]), k)
+                _, one = np.unique(fps, return_index=True)
+                for i in range(0, len(one), 10_000):
+                    texts = [_said(data, starts, ends, at[j], k) for j in one[i : i + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(texts), pa.int64()), pa.array(texts, pa.string()), pa.array(fps[one[i : i + 10_000]].view(np.int64))], ["digest", "passage", "fp"])
 
-    return [r.fp % (1 << 64) for r in wrong.mapInArrow(run, "fp long").distinct().collect()]
+    return passages.mapInArrow(run, "digest long, passage string, fp long").distinct()
 
 
-def _exact_firsts(docs: DataFrame, doubted: list[int], k: int) -> dict[str, int]:
-    """Least doc_id by the very words of each window whose fingerprint is doubted."""
-    doubts = np.array(sorted(doubted), np.uint64)
+def _by_words(docs: DataFrame, doubted: DataFrame, k: int, chunks: int, stash: Stash) -> DataFrame:
+    """chunk, fp, words, least: for each chunk, the windows with a doubted fingerprint in it, by their very words, and the least doc_id that has them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, starts, ends, rows, fps, at = windows(part.column("text"), k)
-                ids = part.column("doc_id").to_numpy()
-                some = at[np.isin(fps, doubts)]
-                texts = [b" ".join(data[s:e].tobytes() for s, e in zip(starts[a : a + k], ends[a : a + k], strict=True)).decode() for a in some]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ids[rows[some]], pa.int64())], ["words", "doc_id"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "words string, doc_id long")
-    return {r.words: r.first for r in rows.groupBy("words").agg(F.min("doc_id").alias("first")).collect()}
+    doubted: fp. The fingerprints go to the tasks in blocks of about DOUBTS; all documents are read for each block.
+    """
+    blocks, found = -(-doubted.count() // DOUBTS), None
+    for b in range(blocks):
+        doubts = np.sort(np.array([r.fp for r in doubted.where(F.pmod(F.xxhash64("fp"), F.lit(blocks)) == b).collect()], np.int64).view(np.uint64))  # at most about DOUBTS
+
+        def run(batches: Iterator[pa.RecordBatch], doubts=doubts) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    data, starts, ends, rows, fps, at = windows(part.column("text"), k)
+                    some = np.flatnonzero(np.isin(fps, doubts))
+                    texts = [_said(data, starts, ends, at[i], k) for i in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(fps[some].view(np.int64)), pa.array(texts, pa.string()), pa.array(part.column("doc_id").to_numpy()[rows[at[some]]])], ["fp", "words", "doc_id"])
+
+        part = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "fp long, words string, doc_id long")
+        found = part if found is None else found.unionByName(part)
+    places = stash.keep(found.withColumn("chunk", F.pmod("doc_id", F.lit(chunks)).cast("int")).groupBy("chunk", "fp", "words").agg(F.min("doc_id").alias("least")), "doubted")
+    return places.drop("least").join(places.groupBy("fp", "words").agg(F.min("least").alias("least")), ["fp", "words"])
+
+
+def remove_repeats(docs: DataFrame, stash: Stash, k: int = 13, history: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row of docs.
+
+    A word goes if it is covered by a window of k words that also starts in a row with a smaller doc_id; windows are judged on the
+    input. Words are those of textkit.WORD, unchanged; a null or empty text has none; texts shorter than k words keep
+    all. Rows with equal ids don't remove each other's words; a row without an id keeps all of its words and removes none.
+    Empty tables give an empty result; further columns of docs are not read.
+
+    Ids come in batches, cut at the `history` shares: each batch is merge-joined with the runs before it and, but for the last, flushed as a run; runs are compacted
+    as soon as there are two. Each passage that goes is then held word by word against the document said to have it first; a passage that does not stand there as a
+    whole, window by window; windows that don't either share a fingerprint only, and are judged again by their very words.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", F.array(*map(F.lit, history)), F.lit(1000))).first()
+    parts = max(1, -(-(size[0] or 0) // BUCKET_BYTES))
+    chunks = prime_from(parts)
+    index = WindowIndex(stash, k, parts, chunks, fanout=2)
+    edges = [None, *(size[1] or []), None]
+    hits = None
+    for low, high in zip(edges, edges[1:], strict=False):
+        batch = docs if low is None else docs.where(F.col("doc_id") > low)
+        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
+        found = index.add(batch, flush=high is not None)
+        hits = found if hits is None else hits.unionByName(found)
+    index.close()
+    out = stash.keep(_judge(docs, hits, k, chunks), "judged")
+    said = out.select(F.explode("passages").alias("p")).select(F.col("p.first").alias("digest"), "p.passage").distinct()
+    unheld = _unheld(stash.keep(said, "said"), docs, stash)
+    if not unheld.isEmpty():
+        single = stash.keep(_windows_of(unheld, k), "windows")
+        unheld = _unheld(single.drop("fp"), docs, stash)
+        if not unheld.isEmpty():
+            doubted = stash.keep(single.join(unheld, ["digest", "passage"], "left_semi").select("fp").distinct(), "fps")
+            out = _judge(docs, hits, k, chunks, _by_words(docs, doubted, k, chunks, stash))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -113,6 +114,25 @@ def ngrams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(h[at]), at
 
 
+def shrink(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of equal place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def grow(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def shrink_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers by their steps."""
+    return shrink(np.diff(values, prepend=np.uint64(0)))
+
+
+def grow_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(grow(data), dtype=np.uint64)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in pieces of about `most` bytes of text; a longer text is a piece of its own."""
     texts = batch.column(column)

@@ -204,6 +204,20 @@ def test_substring_index_grows_by_batches(spark, docs, rows):
     assert set(hits) == set(want) and len(index.runs) <= 2
 
 
+def test_substring_verification_does_not_misfire(spark, monkeypatch):
+    """Passages put together from several places of the first document are no collisions: nothing is judged twice."""
+    calls, real = [], substring._judge
+    monkeypatch.setattr(substring, "_judge", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(substring, "PORTION", 3)
+    w = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join([*["x"] * 20, *w]), "s"), (2, " ".join([*["x"] * 50, "y", *w[40:], *w[:40]]), "s"), *((i, " ".join(w[i : i + 30]), "s") for i in range(3, 20)), (20, "x " * 500, "s")]
+    got = substring.remove_repeats(docs_of(spark, rows), Stash(spark, "t"), k=13)
+    assert norm(map(tuple, got.collect())) == repeats_plain(rows, 13)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    substring.remove_repeats(docs, Stash(spark, "t"), k=13).count()
+    assert len(calls) == 2
+
+
 def test_substring_collisions_are_judged_by_words(spark, docs, rows, monkeypatch):
     """With hits that say every window stands first in document 0, verification and words put the result right."""
     real = substring.WindowIndex.add
