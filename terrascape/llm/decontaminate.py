@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import release
+
 #: Edits allowed per letter of an item. Items of fewer letters than LEAST count only without an edit and between word borders.
 ERROR_RATE, LEAST = 0.08, 24
 #: Letters of benchmark items searched at once; more items are searched in further blocks.
@@ -113,17 +115,6 @@ def _joined(begins: list[int], size: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-_SEARCHES: dict[int, Search] = {}
-
-
-def _loaded(items: list[tuple[int, str]], rate: float, least: int) -> Search:
-    key = hash((tuple(items), rate, least))
-    if key not in _SEARCHES:
-        _SEARCHES.clear()
-        _SEARCHES[key] = Search(items, rate, least)
-    return _SEARCHES[key]
-
-
 def item_blocks(benchmark: DataFrame, block_letters: int = BLOCK_LETTERS, bare: bool = False) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's rows in blocks of about block_letters letters, each of which fits a worker. Null texts are left out, null ids too unless bare (they count as 0)."""
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
@@ -147,11 +138,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     for items in item_blocks(benchmark, block_letters):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = _loaded(items, rate, least)
+            search = Search(items, rate, least)
             for batch in batches:
                 rows = [(d, *m) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in search.matches(text.as_py() or "")]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "errors", "match_end"])
+            release()
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, errors long, match_end long")
         out = part if out is None else out.unionByName(part)
@@ -159,14 +151,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark item stands, be it one without an id."""
+    """The rows of docs, all columns, in which no benchmark item stands, be it one without an id.
+
+    Rows with a null or empty text stay, rows that repeat stay or go together, an empty table stays empty, and an empty benchmark drops nothing. Texts
+    are searched whole, one at a time; the benchmark comes in blocks of block_letters, one pass over docs each.
+    """
     for items in item_blocks(benchmark, block_letters, bare=True):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = _loaded(items, rate, least)
+            search = Search(items, rate, least)
             for batch in batches:
                 clean = [not search.matches(text.as_py() or "") for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import pipeline, quality
 from .decontaminate import find_leaks
 from .exact import exact_groups
 from .mixing import mix_sources
@@ -79,9 +79,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_lm_scores, op2_personal_data, op3_quality, op4_substring_dedup, op5_token_counts, op6_decontaminate, op7_exact_dedup, op8_toxicity, op9_mix_sources, op10_minhash_neardup]
-    import corpus_pipeline
-
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

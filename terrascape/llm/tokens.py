@@ -11,10 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import release
+
 #: Stands for a blank in pieces; what an unknown letter scores below the worst piece.
 BLANK, PENALTY = "▁", 10.0
-#: Segments that a worker remembers.
-REMEMBERED = 1_000_000
+#: Segments that a task remembers before it starts anew, and the letters of one at most.
+REMEMBERED, SHORT = 200_000, 32
+#: Places of the dynamic programming that are held at once, beside those that a piece can reach back to.
+HELD = 1 << 14
 
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
@@ -44,6 +48,7 @@ class Counter:
         self.bytewise, self.known = bytewise, {}
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
         self.letters = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -51,23 +56,31 @@ class Counter:
             self.automaton.make_automaton()
 
     def segment(self, text: str) -> int:
-        found: dict[int, list] = {}
-        for end, match in self.automaton.iter(text) if self.letters or len(self.automaton) else ():
-            found.setdefault(end + 1, []).append(match)
-        best, count, odd = [0.0], [0], [False]
+        """Pieces of a segment; of the places before, only those that a piece can reach back to are held."""
+        matches = iter(self.automaton.iter(text)) if len(self.automaton) else iter(())
+        following = next(matches, None)
+        best, count, odd, base = [0.0], [0], [False], 0  # of the places from base on
         for end in range(1, len(text) + 1):
-            top, n, strange = None, 0, False
-            for size, score in sorted(found.get(end, ()), reverse=True):
-                total = best[end - size] + score
+            top, n, strange, ending = None, 0, False, []
+            while following is not None and following[0] + 1 == end:
+                ending.append(following[1])
+                following = next(matches, None)
+            if len(ending) > 1:
+                ending.sort(reverse=True)
+            for size, score in ending:
+                total = best[end - size - base] + score
                 if top is None or total > top:
-                    top, n, strange = total, count[end - size] + 1, False
+                    top, n, strange = total, count[end - size - base] + 1, False
             letter = text[end - 1]
-            if letter not in self.letters and (top is None or best[end - 1] + self.unknown > top):
-                top, strange = best[end - 1] + self.unknown, True
-                n = count[end - 1] + (len(letter.encode("utf-8", "surrogatepass")) if self.bytewise else int(not odd[end - 1]))
+            if letter not in self.letters and (top is None or best[-1] + self.unknown > top):
+                top, strange = best[-1] + self.unknown, True
+                n = count[-1] + (len(letter.encode("utf-8", "surrogatepass")) if self.bytewise else int(not odd[-1]))
             best.append(top)
             count.append(n)
             odd.append(strange)
+            if len(best) > HELD + self.longest:
+                base += HELD
+                del best[:HELD], count[:HELD], odd[:HELD]
         return count[-1]
 
     def count(self, text: str) -> int:
@@ -78,32 +91,34 @@ class Counter:
         if not self.bytewise:
             return self.segment(text)  # runs of unknown letters may cross cuts
         total = 0
-        for part in _SEGMENT.findall(text):
+        for found in _SEGMENT.finditer(text):
+            part = found.group()
             n = self.known.get(part)
             if n is None:
                 n = self.segment(part)
-                if len(self.known) < REMEMBERED:
+                if len(part) <= SHORT:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
                     self.known[part] = n
             total += n
         return total
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], bytewise: bool) -> DataFrame:
-    """doc_id, n_chars, n_tokens of each row, whole texts; null and empty texts have none. The vocabulary is one broadcast of fixed size."""
+    """doc_id, n_chars, n_tokens of each row, whole texts.
+
+    Null and empty texts have none; rows that repeat or lack an id are counted as any other; an empty table gives an empty
+    result; further columns of docs are not read. A text of any length takes little memory beside itself. The vocabulary is one broadcast of fixed size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, bytewise))
-    key = hash((tuple(pieces), bytewise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(*shared.value)
-        counter = _COUNTERS[key]
+        counter = Counter(*shared.value)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             n = [counter.count(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.utf8_length(texts).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_chars", "n_tokens"])
+        del counter
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long")

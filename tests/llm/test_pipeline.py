@@ -2,7 +2,7 @@
 
 import itertools
 
-import corpus_pipeline
+from terrascape.llm import pipeline as corpus_pipeline
 from terrascape.llm import queries
 
 SF = "/root/testdata/sf0.001"
