@@ -55,10 +55,12 @@ class DigestIndex:
         self.filters: dict[str, BitmapFilter] = {}
 
     def _write(self, level: int, run: DataFrame) -> None:
-        self.runs.append((level, self.stash.keep(run.repartitionByRange("digest").sortWithinPartitions("digest"), f"run-l{level}")))
+        run = self.stash.keep(run.repartitionByRange("digest").sortWithinPartitions("digest"), f"run-l{level}")
+        self.filters[run._stash_path] = BitmapFilter(run, self.stash, self.filter_bits)
+        self.runs.append((level, run))
 
     def flush(self, memtable: DataFrame) -> None:
-        """memtable: digest, doc_id. Writes a sorted run; compacts when fanout runs of a level have gathered."""
+        """memtable: digest, doc_id. Writes a sorted run with its filter; compacts when fanout runs of a level have gathered."""
         self._write(0, memtable.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")))
         level = 0
         while sum(at == level for at, _ in self.runs) >= self.fanout:
@@ -71,7 +73,7 @@ class DigestIndex:
             merged = merged.unionByName(run)
         self.runs = [r for r in self.runs if not any(r is o for o in old)]
         self._write(level, merged.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n")))
-        self.stash.drop(*(run for _, run in old))
+        self.stash.drop(*(run for _, run in old), *(self.filters.pop(run._stash_path).table for _, run in old))
 
     def compact(self) -> DataFrame:
         """Merges all runs into one and returns it."""
@@ -79,11 +81,6 @@ class DigestIndex:
             self._merge(list(self.runs), max(level for level, _ in self.runs) + 1)
         return self.runs[0][1]
 
-    def _filter(self, run: DataFrame) -> "BitmapFilter":
-        if run._stash_path not in self.filters:
-            self.filters[run._stash_path] = BitmapFilter(run, self.stash, self.filter_bits)
-        return self.filters[run._stash_path]
-
     def probe(self, batch: DataFrame) -> DataFrame:
         """batch: digest, doc_id, ... -> its rows whose digest stands in a run, with keep_id and n over all runs.
 
@@ -91,8 +88,7 @@ class DigestIndex:
         """
         found = None
         for _, run in self.runs:
-            may = self._filter(run).candidates(batch)
-            hit = may.join(run, "digest")
+            hit = self.filters[run._stash_path].candidates(batch).join(run.hint("merge"), "digest")
             found = hit if found is None else found.unionByName(hit)
         if found is None:
             return batch.withColumn("keep_id", F.lit(None).cast("long")).withColumn("n", F.lit(0).cast("long")).where(F.lit(False))
@@ -108,20 +104,27 @@ def exact_groups(docs: DataFrame, stash: Stash, keep: str = "max", batches: int
     repeat the id that stays are told apart by a row number, so one row of each group is kept. Of a group with null ids only, one
     row stays, its keep_id null. Empty tables give an empty result; further columns of docs are not read.
 
-    Digests come in `batches` memtables. Hits are verified byte by byte against the text of the row that stays, in
-    portions of salt_rows copies; digests with a mismatch are grouped again by whole text.
+    Digests come in `batches` memtables. Each is probed through the filters of the runs before it and merge-joined with them, then flushed as a run of
+    its own; two runs of a level are compacted. Digests that were hit, or stand in a memtable more than once, are shared; the runs tell their size and the row that
+    stays. All copies are verified byte by byte against the text of the row that stays, in portions of salt_rows copies; digests with a mismatch are grouped again by whole text.
     """
     rows = stash.keep(docs.select("doc_id", digest_of(F.col("text")).alias("digest"), digest(F.col("text")).alias("text_sha256")), "digests")
-    index = DigestIndex(stash, keep, fanout=batches)
+    index, hits = DigestIndex(stash, keep, fanout=2), None
     for b in range(batches):
-        index.flush(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b).select("digest", "doc_id"))
-    shared = stash.keep(index.compact().where("n > 1"), "shared")
+        memtable = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b).select("digest", "doc_id")
+        own = memtable.groupBy("digest").count()
+        hit = own.where("count > 1").select("digest").unionByName(index.probe(own.select("digest")).select("digest"))
+        hit = stash.keep(hit, "hits")  # before the flush compacts the runs that it reads
+        hits = hit if hits is None else hits.unionByName(hit)
+        index.flush(memtable)
+    shared = stash.keep(index.probe(hits.distinct()), "shared")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), digest_of(F.col("text")).alias("digest"))
-    copies = BitmapFilter(shared, stash).candidates(texts).join(shared.hint("merge"), "digest")
+    copies = stash.keep(BitmapFilter(shared, stash).candidates(texts).join(shared.hint("merge"), "digest"), "copies")
     portion = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int")
     stays = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("_text").alias("_kept"), F.max("n").alias("_n"))
     stays = stays.select("digest", "_kept", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.lit(salt_rows)) - 1).cast("int"))).alias("_portion"))
     wrong = stash.keep(copies.withColumn("_portion", portion).join(stays.hint("merge"), ["digest", "_portion"]).where(F.col("_text") != F.col("_kept")).select("digest").distinct(), "collisions")
+    stash.drop(copies)
 
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     numbered = rows.join(shared, "digest", "left").withColumn("_same", F.coalesce(F.col("n"), F.lit(1)))
