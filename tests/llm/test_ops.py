@@ -402,6 +402,52 @@ def test_personal_contexts_find_more(spark, empty):
     assert personal.find_personal(empty, Stash(spark, "t")).count() == 0
 
 
+def bootstrap_plain(places, rounds=3, support=5, trust=0.9):
+    """Accepted (kind, pattern) from places (kind, value, seed, pattern), by plain loops over the distinct edges."""
+    edges = defaultdict(bool)
+    for kind, value, seed, pattern in places:
+        edges[kind, pattern, value] |= seed
+    seeds = {(k, v) for (k, _, v), s in edges.items() if s}
+    score = {(k, v): float((k, v) in seeds) for k, _, v in edges}
+    every = Counter(p for _, p, _ in edges)
+    strong = Counter((k, p) for (k, p, _), s in edges.items() if s)
+    for _ in range(rounds):
+        sums = Counter()
+        for k, p, v in edges:
+            sums[k, p] += score[k, v]
+        confidence = {(k, p): sums[k, p] / (every[p] + personal.SMOOTH) for (k, p), n in strong.items() if n >= support}
+        for k, v in score:
+            if (k, v) not in seeds:
+                mine = [confidence[k, p] for kk, p, vv in edges if (kk, vv) == (k, v) and (k, p) in confidence]
+                score[k, v] = min(max(mine) ** 2, 1 - float(np.prod([max(1e-9, 1 - c) for c in mine]))) if mine else 0.0
+    return {kp for kp, c in confidence.items() if c >= trust}
+
+
+def test_personal_against_a_plain_bootstrap(spark):
+    g = random.Random(5)
+    hexes = lambda n: "".join(g.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    noise = lambda: " ".join(g.choice(["sun", "tree", "road", "sky", "hill"]) for _ in range(g.randint(1, 5)))
+    kinds = [lambda: f'key = "{hexes(40)}"', lambda: f'key = "{hexes(14)}"', lambda: f"id {hexes(12)}", lambda: f"dial | +1 ({g.randint(100, 999)}) 555-{g.randint(1000, 9999)} |",
+             lambda: f"dial | ({g.randint(100, 999)}) 555-{g.randint(1000, 9999)} |", lambda: f"mail a{g.randint(0, 99)}@b.cd", lambda: f"host {g.randint(1, 255)}.1.2.3"]
+    texts = [(k, f"{noise()} {g.choices(kinds, [14, 2, 3, 9, 3, 3, 3])[0]()} {noise()}", "s") for k in range(120)]
+    texts += [(200, None, "s"), (201, "", "s"), (202, 'x key = "' + "ab1" * 60_000 + '"', "s"), texts[0], texts[0]]
+    places, found = [], []
+    for d, t, _ in texts:
+        base = personal.base_spans(t or "")
+        own = [(a, b, k, True) for a, b, k in base] + [(a, b, k, k == "secret" and re.fullmatch("[0-9A-Fa-f]{32,}", t[a:b]) is not None) for a, b, k in personal.loose_spans(t or "", base)]
+        found.append((d, base, own))
+        places += [(k, t[a:b].lower(), s, p) for a, b, k, s in own for p in personal.contexts(t, a, b)]
+    accepted = bootstrap_plain(places)
+    assert {k for k, _ in accepted} >= {"secret", "phone"}
+    want = []
+    for (d, t, _), (_, base, own) in zip(texts, found, strict=True):
+        added = [(a, b, k) for a, b, k, s in own if (not s or k == "secret") and any((k, p) in accepted for p in personal.contexts(t, a, b))]
+        spans = sorted([*base, *added], key=lambda x: (x[0], personal.ALL_KINDS.index(x[2]), x[1]))
+        want.append((d, ",".join(f"{k}:{a}:{b}" for a, b, k in spans), len(added), len(spans)))
+    got = personal.find_personal(docs_of(spark, texts), Stash(spark, "t")).select("doc_id", "spans", "n_added", "n_spans").collect()
+    assert norm(map(tuple, got)) == norm(want) and sum(w[2] for w in want) > 10
+
+
 def test_tokens_match_a_unigram_tokenizer(spark, rows, docs, empty):
     from tokenizers import Tokenizer, models
 
