@@ -32,7 +32,12 @@ def masked(rho: DataFrame, p: float = 0.05) -> DataFrame:
 
 def rank_features(rho: DataFrame) -> DataFrame:
     """rank: place of the feature by |rho_masked| for each algorithm, ties by name."""
-    return rho.withColumn("rank", F.row_number().over(Window.partitionBy("algo").orderBy(F.abs("rho_masked").desc(), "feature")))
+    return rho.withColumn("rank", F.row_number().over(Window.partitionBy("algo").orderBy(F.round(F.abs("rho_masked"), 9).desc(), "feature")))
+
+
+def above(rho: DataFrame, least: float) -> DataFrame:
+    """The rows whose |rho_masked| reaches least."""
+    return rho.where(F.abs("rho_masked") >= least)
 
 
 def select_by_correlation(t: Instances, least: float, p: float = 0.05) -> list[str]:

@@ -10,42 +10,65 @@ from ..session import held
 from ..sources.metadata import Instances
 from .label import TINY
 
-#: Share of rows on either side of an order statistic that is looked at exactly.
-BRACKET = 0.002
+#: Values that are gathered for one order statistic at most; a wider bracket is narrowed first.
+GATHERED = 4096
+#: Share of a bracket on either side of a place that approximate quantiles leave open.
+OPEN = 0.002
 
 
 def order_statistics(df: DataFrame, cols: list[str], shares: list[float]) -> dict[str, dict[float, tuple[float, float] | None]]:
     """Exact order statistics: for each column and share q the values at floor and ceiling of (n - 1) q, nulls left out.
 
-    Two passes of mergeable aggregates: approximate quantiles bracket each place, then only values within the bracket are gathered. If a bracket
-    missed its place, it is widened and the pass repeated.
+    A place is known to be within a bracket of values, with so many values below it and so many in it. Each pass is one aggregate over all columns: approximate
+    quantiles of the brackets' values, or their middle where those don't narrow them, and counts on either side. A bracket of at most GATHERED values is
+    read, one that has shrunk to a single value, however frequent, is the answer; so no pass gathers more than that for a place, at any number of rows.
     """
     if not cols:
         return {}
-    first = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)], *[F.min(c).alias(f"a_{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"b_{i}") for i, c in enumerate(cols)]).first()
-    out: dict[str, dict] = {c: dict.fromkeys(shares) for c in cols}
-    todo = [(i, q) for i in range(len(cols)) for q in shares if first[f"n_{i}"]]
-    width = BRACKET
-    while todo:
-        edges = {}
-        if width < 0.5:
-            row = df.agg(*[F.percentile_approx(cols[i], [max(0.0, q - width), min(1.0, q + width)], 10_000).alias(f"e{k}") for k, (i, q) in enumerate(todo)]).first()
-            edges = {k: row[f"e{k}"] for k in range(len(todo))}
-        aggs = []
-        for k, (i, _) in enumerate(todo):
-            c, (lo, hi) = F.col(cols[i]), edges.get(k) or (first[f"a_{i}"], first[f"b_{i}"])
-            aggs += [F.count(F.when(c < lo, 1)).alias(f"below{k}"), F.sort_array(F.collect_list(F.when((c >= lo) & (c <= hi), c))).alias(f"in{k}")]
-        row = df.agg(*aggs).first()
-        left = []
-        for k, (i, q) in enumerate(todo):
-            place = (first[f"n_{i}"] - 1) * q
-            lo, hi = int(place) - row[f"below{k}"], int(-(-place // 1)) - row[f"below{k}"]
-            inside = row[f"in{k}"]
-            if 0 <= lo and hi < len(inside):
-                out[cols[i]][q] = (inside[lo], inside[hi])
+    first = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    wanted = {(i, int(p)) for i in range(len(cols)) for q in shares if (n := first[f"n_{i}"]) for p in ((n - 1) * q, -(-((n - 1) * q) // 1))}
+    # place -> least and greatest value of its bracket, values below it, values in it, whether the last pass halved the latter
+    open_ = {key: (first[f"lo_{key[0]}"], first[f"hi_{key[0]}"], 0, first[f"n_{key[0]}"], True) for key in wanted}
+    found: dict[tuple[int, int], float] = {}
+    while open_:
+        keys, narrow = sorted(open_), {}
+        found |= {key: open_[key][0] for key in keys if open_[key][0] == open_[key][1]}
+        keys = [key for key in keys if key not in found]
+        within = lambda key: F.when(F.col(cols[key[0]]).between(open_[key][0], open_[key][1]), F.col(cols[key[0]]))
+        read = [key for key in keys if open_[key][3] <= GATHERED]
+        cut = [key for key in keys if key not in read]
+        aggs = [F.sort_array(F.collect_list(within(key))).alias(f"v{k}") for k, key in enumerate(read)]
+        for k, key in enumerate(cut):
+            lo, hi, below, inside, quick = open_[key]
+            at = (key[1] - below) / inside
+            if quick:
+                aggs.append(F.percentile_approx(within(key), [max(0.0, at - OPEN), min(1.0, at + OPEN)], 10_000).alias(f"e{k}"))
+        row = df.agg(*aggs).first() if aggs else None
+        found |= {key: row[f"v{k}"][key[1] - open_[key][2]] for k, key in enumerate(read)}
+        for k, key in enumerate(cut):
+            lo, hi, *_, quick = open_[key]
+            narrow[key] = tuple(row[f"e{k}"]) if quick else (lo, min(hi, max(lo, lo / 2 + hi / 2)))
+        if cut:
+            c = lambda key: F.col(cols[key[0]])
+            counts = {"a": lambda v, x, y: F.count_if(v < x), "b": lambda v, x, y: F.count_if(v <= y), "prior": lambda v, x, y: F.max(F.when(v < x, v)), "least": lambda v, x, y: F.min(F.when(v >= x, v)),
+                      "top": lambda v, x, y: F.max(F.when(v <= y, v)), "after": lambda v, x, y: F.min(F.when(v > y, v))}
+            row = df.agg(*[f(c(key), *narrow[key]).alias(f"{n}{k}") for k, key in enumerate(cut) for n, f in counts.items()]).first()
+        following = {}
+        for k, key in enumerate(cut):
+            (lo, hi, below, inside, _), a, b = open_[key], row[f"a{k}"], row[f"b{k}"]
+            if a <= key[1] < b:
+                new = row[f"least{k}"], row[f"top{k}"], a, b - a
+            elif key[1] >= b:
+                new = row[f"after{k}"], hi, b, below + inside - b
             else:
-                left.append((i, q))
-        todo, width = left, width * 8
+                new = lo, row[f"prior{k}"], below, a - below
+            following[key] = (*new, new[3] * 2 <= inside)
+        open_ = following
+    out: dict[str, dict] = {c: dict.fromkeys(shares) for c in cols}
+    for i, c in enumerate(cols):
+        for q in shares:
+            if n := first[f"n_{i}"]:
+                out[c][q] = found[i, int((n - 1) * q)], found[i, int(-(-((n - 1) * q) // 1))]
     return out
 
 
@@ -111,13 +134,19 @@ def normalise(t: Instances) -> tuple[Instances, DataFrame]:
         shift = {c: (row[c] or 0.0, 1.0) for c in t.features} | dict.fromkeys(t.algos, (low, TINY))
         lam = {r["name"]: r["lambda"] for r in boxcox_lambdas(raw, cols, shift).collect()}
         raised = {c: boxcox(shifted(c, *shift[c]), lam.get(c, 1.0)) for c in cols}
-        row = raw.select(*[x.alias(c) for c, x in raised.items()]).agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+        z, moments = zscores(raw.select(*[x.alias(c) for c, x in raised.items()]), cols)
     df = t.df.select(*[raised[c].alias(c) if c in raised else F.col(c) for c in t.df.columns])
-    z = {c: F.try_divide(F.col(c) - F.lit(row[f"m_{c}"]), F.lit(row[f"s_{c}"])) for c in cols}
-    stats = t.df.sparkSession.createDataFrame([(c, *map(float, shift[c]), lam.get(c, 1.0), row[f"m_{c}"], row[f"s_{c}"]) for c in cols], "name string, low double, add double, lambda double, mean double, std double")
+    stats = t.df.sparkSession.createDataFrame([(c, *map(float, shift[c]), lam.get(c, 1.0), *moments[c]) for c in cols], "name string, low double, add double, lambda double, mean double, std double")
     return t.with_df(df.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])), stats
 
 
+def zscores(df: DataFrame, cols: list[str]) -> tuple[dict[str, Column], dict[str, tuple[float | None, float | None]]]:
+    """Each column as its z-score (sample deviation; missing where there is none), and mean and deviation, from one aggregate."""
+    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+    moments = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
+    return {c: F.try_divide(F.col(c) - F.lit(m), F.lit(s)) for c, (m, s) in moments.items()}, moments
+
+
 def weights(t: Instances) -> DataFrame:
     """iid and w_<algo>: |y - mean of all performance|; zero becomes the least positive weight, missing the largest."""
     total = sum((F.coalesce(F.col(a), F.lit(0.0)) for a in t.algos), F.lit(0.0))

@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.numeric import critical_r
-from .operators import classify, clean, corners, correlate, footprints, label, neighbours, project, scale, sift, subset
+from .operators import classify, clean, cluster, corners, correlate, footprints, label, neighbours, project, scale, sift, subset
 from .operators.label import Performance
-from .sources.metadata import Instances, from_dataframe
+from .sources.metadata import Instances, from_csv, from_dataframe, row_index
 from .sources.tpch import ALGOS, CUSTOMER_FEATURES, SUPPLIER_FEATURES, customer_instances, supplier_instances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,8 +196,15 @@ def a9_global_min(spark, d):
 @query("SELECT iid, " + ", ".join(f"round(({f} - (SELECT avg({f}) FROM t)) / (SELECT stddev_samp({f}) FROM t), 5) AS {f}" for f in CF) + " FROM t")
 def f5_zscore(spark, d):
     t = _c(spark, d)
-    e = t.df.agg(*[F.avg(f).alias(f"m_{f}") for f in CF], *[F.stddev_samp(f).alias(f"s_{f}") for f in CF]).first()
-    return t.df.select("iid", *[F.round(F.try_divide(F.col(f) - e[f"m_{f}"], F.lit(e[f"s_{f}"])), 5).alias(f) for f in CF])
+    z, _ = scale.zscores(t.df, list(CF))
+    return t.df.select("iid", *[F.round(c, 5).alias(f) for f, c in z.items()])
+
+
+@query(f"SELECT iid, " + ", ".join(f"{f} - (SELECT min({f}) FROM t) + 1 AS {f}" for f in CF) + " FROM t")
+def f2_shift(spark, d):
+    t = _c(spark, d)
+    low = t.df.agg(*[F.min(f).alias(f) for f in CF]).first()
+    return t.df.select("iid", *[scale.shifted(f, low[f], 1.0).alias(f) for f in CF])
 
 
 @query("SELECT iid, round((pow(feature_avg_price + 1, 0.5) - 1) / 0.5, 4) AS half, round(ln(feature_avg_price + 1), 6) AS zero, round((pow(feature_avg_price + 1, -0.25) - 1) / -0.25, 6) AS minus FROM t")
@@ -219,11 +225,45 @@ def p11_file_index(spark, d):
     return subset.by_index(t, n).df.select("iid")
 
 
-@query()
+_HALF = "SELECT iid FROM (SELECT iid, row_number() OVER (ORDER BY md5(iid::VARCHAR || ':0'), iid) AS r, count(*) OVER () AS n FROM t) WHERE r <= ceil(n * 0.5)"
+
+
+@query(_HALF)
 def p10_fractional(spark, d):
     return subset.fractional(_c(spark, d), 0.5).df.select("iid")
 
 
+@query(_HALF)
+def p13_precedence(spark, d):
+    return subset.choose(_c(spark, d), small_scale=0.5, rows=spark.createDataFrame([(1,)], "row long"), density=(NEAR, "Ftr")).df.select("iid")
+
+
+def _written(spark, df: DataFrame, name: str) -> str:
+    """df as CSV files with a header, in the folder of checkpoints."""
+    import uuid
+
+    from .session import durable_dir
+
+    path = f"{durable_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True)
+    return path
+
+
+@query("SELECT instances, source, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*CF, *ALGOS)) + " FROM t")
+def o1_csv_scan(spark, d):
+    t = _c(spark, d)
+    read = from_csv(spark, _written(spark, t.df.select(F.col("instances").alias("Instances"), F.col("source").alias("SOURCE"), *t.features, *t.algos, F.lit("x").alias("comment")), "csv"))
+    return read.df.select("instances", "source", *[F.round(c, 6).alias(c) for c in (*read.features, *read.algos)])
+
+
+@query("SELECT iid FROM (SELECT iid, row_number() OVER (ORDER BY iid) AS r FROM t) WHERE r % 5 = 2")
+def o5_index_file(spark, d):
+    t = _c(spark, d)
+    rows = spark.range(2, t.df.count() + 50, 5)
+    path = _written(spark, rows, "index")
+    return subset.by_index(t, row_index(spark, path)).df.select("iid")
+
+
 def _scaled(spark, d) -> Instances:
     """Suppliers with each feature and algorithm divided by a fixed number, so that distances weigh columns alike."""
     t = _s(spark, d)
@@ -294,33 +334,43 @@ def a10_corr_p(spark, d):
     return correlate.correlations(t.df, t.features, t.algos)
 
 
-#: |r| that the SQL of masked correlations uses in place of a p-value: it is the critical value of some 1000 rows at 0.05.
-RHO = round(critical_r(1000, 0.05), 4)
-
+#: The two-sided 5 % point of the normal law; the SQL below expands that of Student's t in powers of one over its degrees of freedom.
+_Z05 = 1.959963984540054
+_T05 = (f"({_Z05} + {(_Z05**3 + _Z05) / 4} / (n - 2) + {(5 * _Z05**5 + 16 * _Z05**3 + 3 * _Z05) / 96} / pow(n - 2, 2) + {(3 * _Z05**7 + 19 * _Z05**5 + 17 * _Z05**3 - 15 * _Z05) / 384} / pow(n - 2, 3)"
+        f" + {(79 * _Z05**9 + 776 * _Z05**7 + 1482 * _Z05**5 - 1920 * _Z05**3 - 945 * _Z05) / 92160} / pow(n - 2, 4))")
+_RHO = (", rho AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{a}' AS algo, corr({f}, {a}) AS rho, count(*) AS n FROM t WHERE {f} IS NOT NULL AND {a} IS NOT NULL" for f in CF for a in ALGOS)
+        + f"), m AS (SELECT feature, algo, CASE WHEN abs(rho) >= {_T05} / sqrt(n - 2 + pow({_T05}, 2)) THEN rho ELSE 0.0 END AS rho_masked FROM rho)")
+_RANKED = ", rk AS (SELECT *, row_number() OVER (PARTITION BY algo ORDER BY round(abs(rho_masked), 9) DESC, feature) AS rank FROM m)"
 
-def _rho() -> str:
-    return ", rho AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{a}' AS algo, round(corr({f}, {a}), 6) AS rho FROM t WHERE {f} IS NOT NULL AND {a} IS NOT NULL" for f in CF for a in ALGOS) + f"), m AS (SELECT feature, algo, CASE WHEN abs(rho) >= {RHO} THEN rho ELSE 0.0 END AS rho_masked FROM rho)"
 
-
-def _masked_by_r(spark, d):
+def _masked(spark, d) -> DataFrame:
     t = _c(spark, d)
-    rho = correlate.correlations(t.df, t.features, t.algos).withColumn("rho", F.round("rho", 6))
-    return rho.withColumn("rho_masked", F.when(F.abs("rho") >= RHO, F.col("rho")).otherwise(0.0))
+    return correlate.masked(correlate.correlations(t.df, t.features, t.algos))
 
 
-@query(_rho() + " SELECT feature, algo, rho_masked FROM m")
+@query(_RHO + " SELECT feature, algo, round(rho_masked, 6) AS rho_masked FROM m")
 def p14_masked_rho(spark, d):
-    return _masked_by_r(spark, d).select("feature", "algo", "rho_masked")
+    return _masked(spark, d).select("feature", "algo", F.round("rho_masked", 6).alias("rho_masked"))
 
 
-@query(_rho() + " SELECT feature, algo, row_number() OVER (PARTITION BY algo ORDER BY abs(rho_masked) DESC, feature) AS rank FROM m")
+@query(_RHO + _RANKED + " SELECT feature, algo, rank FROM rk")
 def w1_feature_rank(spark, d):
-    return correlate.rank_features(_masked_by_r(spark, d)).select("feature", "algo", F.col("rank").cast("long").alias("rank"))
+    return correlate.rank_features(_masked(spark, d)).select("feature", "algo", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_RHO + _RANKED + " SELECT algo, feature FROM rk WHERE rank = 1")
+def t2_best_feature(spark, d):
+    return correlate.rank_features(_masked(spark, d)).where("rank = 1").select("algo", "feature")
 
 
-@query(_rho() + " SELECT DISTINCT feature FROM (SELECT *, row_number() OVER (PARTITION BY algo ORDER BY abs(rho_masked) DESC, feature) AS rank FROM m) WHERE rank = 1 OR abs(rho_masked) >= 0.1")
+@query(_RHO + " SELECT feature, algo FROM m WHERE abs(rho_masked) >= 0.1")
+def p15_above_threshold(spark, d):
+    return correlate.above(_masked(spark, d), 0.1).select("feature", "algo")
+
+
+@query(_RHO + _RANKED + " SELECT DISTINCT feature FROM rk WHERE rank = 1 OR abs(rho_masked) >= 0.1")
 def m1_selected(spark, d):
-    return correlate.rank_features(_masked_by_r(spark, d)).where((F.col("rank") == 1) | (F.abs("rho_masked") >= 0.1)).select("feature").distinct()
+    return spark.createDataFrame([(f,) for f in correlate.select_by_correlation(_c(spark, d), 0.1)], "feature string")
 
 
 _ALL = (*SF, *ALGOS)
@@ -346,10 +396,31 @@ def m7_project_fixed_a(spark, d):
     return _fixed(_scaled(spark, d)).df.select("iid", F.round("z_1", 6).alias("z_1"), F.round("z_2", 6).alias("z_2"))
 
 
-@query(SCALED + f", z AS (SELECT *, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q) SELECT round(sum(" + " + ".join(f"pow({f} - (0.5 * z_1 + 0.25 * z_2), 2.0)" for f in SF) + "), 3) AS error FROM z", SUPPLIER)
+#: The solution whose error is asked for: A as above, each column rebuilt as half of z_1 and a quarter of z_2.
+_ALPHA = np.concatenate([np.array(FIXED_A).ravel(), np.tile([0.5, 0.25], len(SF) + len(ALGOS))])
+_HAT = "(0.5 * z_1 + 0.25 * z_2)"
+
+
+@query(SCALED + f", z AS (SELECT *, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q) SELECT round(sum(" + " + ".join(f"pow({c} - {_HAT}, 2.0)" for c in (*SF, *ALGOS)) + "), 3) AS error FROM z", SUPPLIER)
 def a23_projection_error(spark, d):
-    hat = 0.5 * F.col("z_1") + 0.25 * F.col("z_2")
-    return _fixed(_scaled(spark, d)).df.agg(F.round(F.sum(sum((F.pow(F.col(f) - hat, F.lit(2.0)) for f in SF), F.lit(0.0))), 3).alias("error"))
+    return spark.createDataFrame([(round(project.numeric(_scaled(spark, d), alpha=_ALPHA).error, 3),)], "error double")
+
+
+@query(SCALED + f", z AS (SELECT *, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q) " + " UNION ALL ".join(f"(SELECT '{c}' AS name, round(pow(corr({c}, {_HAT}), 2), 6) AS r2 FROM z)" for c in (*SF, *ALGOS)), SUPPLIER)
+def a23_r2(spark, d):
+    p = project.numeric(_scaled(spark, d), alpha=_ALPHA)
+    return spark.createDataFrame([(c, round(float(v), 6)) for c, v in zip((*SF, *ALGOS), p.r2, strict=True)], "name string, r2 double")
+
+
+@query(SCALED + f", z AS (SELECT *, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q) SELECT iid, round(z_1, 6) AS z_1, round(z_2, 6) AS z_2 FROM z", SUPPLIER)
+def m10_given_alpha(spark, d):
+    t = _scaled(spark, d)
+    return project.numeric(t, alpha=_ALPHA).apply(t.df).select("iid", F.round("z_1", 6).alias("z_1"), F.round("z_2", 6).alias("z_2"))
+
+
+@query(SCALED + f", z AS (SELECT *, {_Z[0]} AS z_1, {_Z[1]} AS z_2 FROM q) SELECT iid, round((z_1 - (SELECT avg(z_1) FROM z)) / (SELECT stddev_pop(z_1) FROM z), 6) AS z_1, round((z_2 - (SELECT avg(z_2) FROM z)) / (SELECT stddev_pop(z_2) FROM z), 6) AS z_2 FROM z", SUPPLIER)
+def m12_znorm(spark, d):
+    return classify.znorm(_fixed(_scaled(spark, d)))[0].df.select("iid", F.round("z_1", 6).alias("z_1"), F.round("z_2", 6).alias("z_2"))
 
 
 @query()
@@ -443,9 +514,8 @@ def f13_weights(spark, d):
 
 @query(" SELECT good, f::INT AS fold, (n // 5 + (f < n % 5)::INT)::BIGINT AS n FROM (SELECT coalesce(algo_p1 <= " + str(GOOD_PRICE) + ", false) AS good, count(*) AS n FROM t GROUP BY 1), range(5) r(f)")
 def m15_fold_counts(spark, d):
-    t = _labelled(spark, d)
-    df = t.df.select("iid", F.col("good_p1").alias("good"))
-    return df.select("good", classify.fold_of(F.col("good"), 5).alias("fold")).groupBy("good", "fold").agg(F.count(F.lit(1)).alias("n"))
+    df = _labelled(spark, d).df.select("iid", F.col("good_p1").alias("good"))
+    return classify.fold_of(df, 5).groupBy("good", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _threshold(spark, d) -> tuple[Instances, DataFrame]:
@@ -512,42 +582,26 @@ _EPS = "(SELECT sqrt((max(z_1) - min(z_1)) * (max(z_2) - min(z_2)) * max(k) / (c
 _K = ", k AS (SELECT greatest(least(ceil(count(*) FILTER (good) / 20.0), 50), 3)::INT AS k FROM z)"
 
 
-def _radius(z: DataFrame) -> DataFrame:
-    """k, eps of density clustering of the rows z_1, z_2, good."""
-    k = F.greatest(F.least(F.ceil(F.count_if("good") / 20.0), F.lit(50)), F.lit(3)).cast("int")
-    r = z.agg(k.alias("k"), ((F.max("z_1") - F.min("z_1")) * (F.max("z_2") - F.min("z_2"))).alias("box"), F.count(F.lit(1)).alias("m"))
-    return r.select("k", F.sqrt(F.col("box") * F.col("k") / (F.col("m") * F.pi())).alias("eps"))
-
-
 def _plane(spark, d) -> DataFrame:
     return _fixed(_scaled(spark, d)).df.select("iid", F.col("good_p1").alias("good"), "z_1", "z_2")
 
 
 @query(_ZQ + _K + f" SELECT k, round({_EPS}, 6) AS eps FROM k", SUPPLIER)
 def f11_dbscan_eps(spark, d):
-    return _radius(_plane(spark, d)).select("k", F.round("eps", 6).alias("eps"))
-
-
-def _neighbours(z: DataFrame, eps: float) -> DataFrame:
-    """iid, degree: rows within eps, the row itself included; an equi-join on grid cells as wide as eps."""
-    x, y = (F.floor(F.col(c) / eps).cast("long") for c in ("z_1", "z_2"))
-    a = z.select("iid", F.col("z_1").alias("ax"), F.col("z_2").alias("ay"), x.alias("cx"), y.alias("cy"))
-    b = z.select(F.col("iid").alias("j"), F.col("z_1").alias("bx"), F.col("z_2").alias("by"), F.explode(F.array(x - 1, x, x + 1)).alias("cx"), y.alias("_y")).select("j", "bx", "by", "cx", F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("cy"))
-    near = F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)) <= eps * eps
-    return a.join(b, ["cx", "cy"]).where(near).groupBy("iid").agg(F.count(F.lit(1)).alias("degree"))
+    return cluster.radius(_plane(spark, d)).select("k", F.round("eps", 6).alias("eps"))
 
 
 @query(_ZQ + _K + f", ep AS (SELECT {_EPS} AS eps) SELECT a.iid, count(*) AS degree FROM z a JOIN z b ON pow(a.z_1 - b.z_1, 2.0) + pow(a.z_2 - b.z_2, 2.0) <= (SELECT eps * eps FROM ep) GROUP BY a.iid", SUPPLIER)
 def j9_eps_degree(spark, d):
     z = _plane(spark, d)
-    return _neighbours(z, _radius(z).first()["eps"])
+    return cluster.degrees(z, cluster.radius(z).first()["eps"])
 
 
 @query(_ZQ + _K + f", ep AS (SELECT {_EPS} AS eps) SELECT a.iid FROM z a JOIN z b ON pow(a.z_1 - b.z_1, 2.0) + pow(a.z_2 - b.z_2, 2.0) <= (SELECT eps * eps FROM ep) GROUP BY a.iid HAVING count(*) >= (SELECT k FROM k) + 1", SUPPLIER)
 def d6_core_points(spark, d):
     z = _plane(spark, d)
-    r = _radius(z).first()
-    return _neighbours(z, r["eps"]).where(F.col("degree") >= r["k"] + 1).select("iid")
+    r = cluster.radius(z).first()
+    return cluster.degrees(z, r["eps"]).where(F.col("degree") >= r["k"] + 1).select("iid")
 
 
 @query(SCALED + f", r AS (SELECT x.iid, y.iid AS near, {_DX} AS distance, row_number() OVER (PARTITION BY x.iid ORDER BY {_DX}, y.iid) AS rank FROM q x JOIN q y ON x.iid <> y.iid WHERE x.iid % 50 = 0) SELECT iid, rank::INT AS rank, near, round(distance, 6) AS distance FROM r WHERE rank <= 3", SUPPLIER)
@@ -556,19 +610,14 @@ def j10_nearest(spark, d):
     return neighbours.nearest(t.df, t.df.where("iid % 50 = 0"), list(SF)).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(_ZQ + _K + f""", ep AS (SELECT {_EPS} AS eps), nb AS (SELECT a.iid, b.iid AS near FROM z a JOIN z b ON pow(a.z_1 - b.z_1, 2.0) + pow(a.z_2 - b.z_2, 2.0) <= (SELECT eps * eps FROM ep)),
+co AS (SELECT iid FROM nb GROUP BY iid HAVING count(*) > (SELECT k FROM k)), li AS (SELECT nb.* FROM nb JOIN co ON co.iid = nb.iid JOIN co c2 ON c2.iid = nb.near),
+cl AS (WITH RECURSIVE r(iid, c) AS (SELECT iid, iid FROM co UNION SELECT li.near, r.c FROM r JOIN li ON li.iid = r.iid WHERE r.c < li.near) SELECT iid, min(c) AS c FROM r GROUP BY iid)
+SELECT z.iid, coalesce(own.c, (SELECT min(cl.c) FROM nb JOIN cl ON cl.iid = nb.near WHERE nb.iid = z.iid)) AS cluster FROM z LEFT JOIN cl own ON own.iid = z.iid""", SUPPLIER)
 def d6_dbscan(spark, d):
-    from .functions.geometry import dbscan
-
     z = _plane(spark, d)
-    r = _radius(z).first()
-    eps, k = r["eps"], r["k"]
-
-    def run(pdf):
-        pdf = pdf.sort_values("iid", ignore_index=True)
-        return pdf.assign(cluster=dbscan(pdf[["z_1", "z_2"]].to_numpy(), eps, k))[["iid", "cluster"]]
-
-    return z.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "iid long, cluster long")
+    r = cluster.radius(z).first()
+    return cluster.dbscan(z, r["eps"], r["k"])
 
 
 #: Triangles of the footprint queries, corners counter-clockwise.
@@ -598,11 +647,11 @@ def a18_footprint_stats(spark, d):
     return s.withColumns({"density": F.round("density", 6), "purity": F.round("purity", 6)})
 
 
-@query(_ZQ + _TRI + " SELECT a.piece, round(a.area / s.area, 6) AS area_normalised, round(coalesce(a.density / nullif(s.density, 0), 0.0), 6) AS density_normalised, round(a.purity, 6) AS purity FROM st a, (SELECT area, density FROM st WHERE piece = 1) s", SUPPLIER)
+@query(_ZQ + _TRI + " SELECT (a.piece - 1)::INT AS algo, 'a' || (a.piece - 1) AS name, round(a.area, 3) AS area_good, round(a.area / s.area, 3) AS area_normalised_good, round(a.density, 3) AS density_good, round(coalesce(a.density / nullif(s.density, 0), 0.0), 3) AS density_normalised_good, round(a.purity, 3) AS purity_good FROM st a, (SELECT area, density FROM st WHERE piece = 1) s WHERE a.piece > 1", SUPPLIER)
 def a19_footprint_summary(spark, d):
     s = footprints.stats(footprints.point_counts(_plane(spark, d), _triangles(spark)), _areas(spark))
-    space = s.where("piece = 1").select(F.col("area").alias("sa"), F.col("density").alias("sd"))
-    return s.crossJoin(F.broadcast(space)).select("piece", F.round(F.col("area") / F.col("sa"), 6).alias("area_normalised"), F.round(F.coalesce(F.try_divide(F.col("density"), F.col("sd")), F.lit(0.0)), 6).alias("density_normalised"), F.round("purity", 6).alias("purity"))
+    found = s.withColumn("kind", F.when(F.col("piece") == 1, "space").otherwise("good")).withColumn("algo", F.col("piece") - 1)
+    return footprints.summary(found, {k: f"a{k}" for k in (1, 2, 3)}).select("algo", "name", "area_good", "area_normalised_good", "density_good", "density_normalised_good", "purity_good")
 
 
 @query()
@@ -647,7 +696,12 @@ def m13_svm(spark, d):
     return classify.fit_predict(t, classify.Training(grid=4)).select("iid", "algo", "cv_good", "hat_good")
 
 
-@query()
+_LIMITED = {f: f"greatest(m_{f} - 5 * i_{f}, least({f}, m_{f} + 5 * i_{f}))" for f in SF}
+_SCORED = {f: f"(({_LIMITED[f]} - (SELECT min({f}) FROM t) + 1 - 1) - (SELECT avg({f}) FROM t)) / (SELECT stddev_samp({f}) FROM t)" for f in SF}
+
+
+@query(", e AS (SELECT " + ", ".join(f"{_mid(f, 0.5)} AS m_{f}, {_mid(f, 0.75)} - {_mid(f, 0.25)} AS i_{f}" for f in SF) + "), w AS (SELECT iid, " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN {_SCORED[f]} END AS {f}" for f in SF)
+       + f" FROM t, e) SELECT iid, round({_Z[0]}, 5) AS z_1, round({_Z[1]}, 5) AS z_2 FROM w", SUPPLIER)
 def stream_score(spark, d):
     import uuid
 
@@ -661,4 +715,4 @@ def stream_score(spark, d):
     root = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
     t.df.select("iid", *SF).write.parquet(f"{root}/in")
     score_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, apply, f"{root}/out", f"{root}/log").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("iid", "z_1", "z_2")
+    return spark.read.parquet(f"{root}/out").select("iid", F.round("z_1", 5).alias("z_1"), F.round("z_2", 5).alias("z_2"))
