@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -130,27 +133,108 @@ def mean_silhouette(d: np.ndarray, label: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def genetic(fitness: Callable[[list[tuple[int, ...]]], list[float]], genes: int, high: int, population: int = 50, generations: int = 100, parents: int = 2, elite: int = 2, crossover: float = 0.8, mutation: float = 0.05, tournament: int = 4, patience: int = 5, seed: int = 0) -> tuple[tuple[int, ...], float]:
-    """Maximises fitness of whole-number genes: tournaments, scattered crossover, random mutation, elites, and an end after `patience` generations without gain. fitness
-    is asked for a whole generation at once, so it can be worked out in parallel."""
+@dataclass(frozen=True)
+class Evolution:
+    """How a genetic search goes on. parents: how many mate; selection: tournament, rws (wheel by fitness above the worst), sus (the same with even steps), rank, sss (the best) or random;
+    crossover: scattered, uniform, single_point or two_points; mutation: random (a new value), swap, inversion or scramble; stop: saturate_N (N generations without gain) or reach_X."""
+
+    population: int = 50
+    generations: int = 100
+    parents: int = 2
+    selection: str = "tournament"
+    tournament: int = 4
+    elite: int = 2
+    crossover: str = "scattered"
+    crossover_chance: float = 0.8
+    mutation: str = "random"
+    mutation_chance: float = 0.05
+    stop: str = "saturate_5"
+
+    def __post_init__(self):
+        for value, known in ((self.selection, ("tournament", "rws", "sus", "rank", "sss", "random")), (self.crossover, ("scattered", "uniform", "single_point", "two_points")), (self.mutation, ("random", "swap", "inversion", "scramble"))):
+            if value not in known:
+                raise ValueError(f"{value!r} is not one of {', '.join(known)}")
+        if not re.fullmatch(r"(saturate_[0-9]+|reach_-?[0-9.]+)", self.stop):
+            raise ValueError(f"{self.stop!r} is neither saturate_N nor reach_X")
+
+    def mates(self, pop: list[tuple[int, ...]], fit: np.ndarray, g: np.random.Generator) -> list[tuple[int, ...]]:
+        """pop: the best first; fit: the fitness of each."""
+        n = max(2, self.parents)
+        if self.selection == "tournament":
+            at = [min(int(i) for i in g.integers(0, len(pop), self.tournament)) for _ in range(n)]
+        elif self.selection == "sss":
+            at = list(range(min(n, len(pop))))
+        elif self.selection == "sus":
+            wheel = np.cumsum(fit - fit.min() + 1e-12)
+            at = np.minimum(np.searchsorted(wheel, (g.random() + np.arange(n)) / n * wheel[-1], "right"), len(pop) - 1).tolist()
+        else:
+            weight = {"rws": fit - fit.min() + 1e-12, "rank": np.arange(len(pop), 0, -1.0), "random": np.ones(len(pop))}[self.selection]
+            at = [int(i) for i in g.choice(len(pop), n, p=weight / weight.sum())]
+        return [pop[i] for i in at]
+
+    def child(self, a: tuple[int, ...], b: tuple[int, ...], high: int, g: np.random.Generator) -> tuple[int, ...]:
+        n = len(a)
+        if g.random() < self.crossover_chance:
+            if self.crossover in ("scattered", "uniform"):
+                own = g.random(n) < 0.5
+            else:
+                cut = np.sort(g.integers(0, n + 1, 2)) if self.crossover == "two_points" else np.array([g.integers(0, n + 1), n])
+                own = (np.arange(n) < cut[0]) | (np.arange(n) >= cut[1])
+            new = [x if o else y for x, y, o in zip(a, b, own, strict=True)]
+        else:
+            new = list(a)
+        if self.mutation == "random":
+            return tuple(int(g.integers(0, high)) if g.random() < self.mutation_chance else v for v in new)
+        if n > 1 and g.random() < self.mutation_chance:
+            i, j = sorted(int(v) for v in g.choice(n, 2, replace=False))
+            if self.mutation == "swap":
+                new[i], new[j] = new[j], new[i]
+            else:
+                part = new[i : j + 1]
+                new[i : j + 1] = part[::-1] if self.mutation == "inversion" else [part[int(k)] for k in g.permutation(len(part))]
+        return tuple(new)
+
+
+def genetic(fitness: Callable[[list[tuple[int, ...]]], list[float]], genes: int, high: int, evolution: Evolution = Evolution(), seed: int = 0) -> tuple[tuple[int, ...], float]:
+    """Maximises fitness of whole-number genes below high. fitness is asked for a whole generation at once, so it can be worked out in parallel."""
     g, known = np.random.default_rng(seed), {}
-    pop = [tuple(int(v) for v in r) for r in g.integers(0, high, (population, genes))]
+    pop = [tuple(int(v) for v in r) for r in g.integers(0, high, (evolution.population, genes))]
+    kind, _, bound = evolution.stop.partition("_")
     top, stale = -np.inf, 0
-    for _ in range(generations):
+    for _ in range(evolution.generations):
         fresh = sorted(set(pop) - known.keys())
         known.update(zip(fresh, fitness(fresh), strict=True)) if fresh else None
         pop.sort(key=lambda s: (-known[s], s))
         stale = 0 if known[pop[0]] > top else stale + 1
         top = max(top, known[pop[0]])
-        if stale >= patience:
+        if kind == "saturate" and stale >= int(bound) or kind == "reach" and top >= float(bound):
             break
-        pick = lambda: min((pop[int(i)] for i in g.integers(0, len(pop), tournament)), key=lambda s: (-known[s], s))
-        mates = [pick() for _ in range(max(2, parents))]
-        following = pop[:elite]
-        while len(following) < population:
+        mates = evolution.mates(pop, np.array([known[s] for s in pop]), g)
+        following = pop[: evolution.elite]
+        while len(following) < evolution.population:
             a, b = (mates[int(i)] for i in g.integers(0, len(mates), 2))
-            child = [x if g.random() < 0.5 else y for x, y in zip(a, b, strict=True)] if g.random() < crossover else list(a)
-            following.append(tuple(int(g.integers(0, high)) if g.random() < mutation else v for v in child))
+            following.append(evolution.child(a, b, high, g))
         pop = following
     best = max(known, key=lambda s: (known[s], tuple(-v for v in s)))
     return best, known[best]
+
+
+def bayes_search(score: Callable[[float, float], float], n: int = 30, seed: int = 0, first: int = 10) -> tuple[float, float]:
+    """The best of n pairs (C, gamma) from 2^-10 to 2^4 under score: `first` of a latin hypercube, then one after the other where a Gaussian process over the
+    logarithms expects the largest improvement, among 512 places of a hypercube of each step."""
+    x = latin_hypercube(min(first, n), 2, seed)
+    y = np.array([score(*2.0 ** (14 * p - 10)) for p in x])
+    like = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(2) / (2 * 0.2**2))
+    for step in range(len(x), n):
+        places = latin_hypercube(512, 2, seed + step)
+        scale = y.std() or 1.0
+        solve = np.linalg.solve(like(x, x) + 1e-3 * np.eye(len(x)), np.c_[(y - y.mean()) / scale, like(x, places)])
+        across = like(places, x)
+        mean, dev = across @ solve[:, 0], np.sqrt(np.maximum(1e-12, 1 - np.einsum("ij,ji->i", across, solve[:, 1:])))
+        gain = mean - (y.max() - y.mean()) / scale
+        z = gain / dev
+        tail = np.array([0.5 * math.erfc(-v / 2**0.5) for v in z])
+        best = places[int(np.argmax(gain * tail + dev * np.exp(-z * z / 2) / (2 * np.pi) ** 0.5))]
+        x, y = np.vstack([x, best]), np.r_[y, score(*2.0 ** (14 * best - 10))]
+    c, gamma = 2.0 ** (14 * x[int(y.argmax())] - 10)
+    return float(c), float(gamma)

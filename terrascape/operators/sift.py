@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.learn import genetic, kmeans, mean_silhouette
+from ..functions.learn import Evolution, genetic, kmeans, mean_silhouette
 from ..sources.metadata import Instances
 from .correlate import select_by_correlation
+from .label import good_name
 from .project import gram
 
 
@@ -68,12 +69,15 @@ def _nearest(q: pd.DataFrame, p: pd.DataFrame, k: int) -> list[list[dict]]:
 
 
 def knn_errors(t: Instances, n: int, planes: list[np.ndarray], k: int = 3, folds: int = 5, strip: int = 1000) -> list[float]:
-    """For each projection of the features (2 x F) the largest, over the algorithms, mean squared error of the mean of the k nearest rows of other folds.
+    """For each projection of the features (2 x F) the largest, over the algorithms, error of the k nearest rows of other folds: the share of rows whose good
+    label most of them don't have, or, in a table without labels, the mean squared error of their mean performance.
 
     All n rows of t are judged, none with a missing value. A projection is cut into strips of about `strip` rows. Rows ask their own strip, then
     those that their k-th distance reaches into.
     """
     feats, algos, cuts = list(t.features), list(t.algos), -(-n // strip)
+    labelled = all(good_name(a) in t.df.columns for a in algos)
+    target = [F.coalesce(F.col(good_name(a)), F.lit(False)).cast("double").alias(a) if labelled else F.col(a) for a in algos]
     edges = [np.zeros(0)] * len(planes)
     if cuts > 1:
         z = [sum((F.col(c) * F.lit(float(w)) for c, w in zip(feats, a[0], strict=True)), F.lit(0.0)) for a in planes]
@@ -97,7 +101,7 @@ def knn_errors(t: Instances, n: int, planes: list[np.ndarray], k: int = 3, folds
         near = _nearest(q, p.sort_values("iid", ignore_index=True), k) if len(p) else [[] for _ in range(len(q))]
         return q[["cand", "iid"]].assign(near=near)
 
-    placed = t.df.select("iid", *feats, *algos, F.pmod(F.xxhash64("iid"), F.lit(min(folds, max(n, 1)))).cast("int").alias("fold"))
+    placed = t.df.select("iid", *feats, *target, F.pmod(F.xxhash64("iid"), F.lit(min(folds, max(n, 1)))).cast("int").alias("fold"))
     placed = placed.mapInPandas(place, row := "cand int, strip int, iid long, fold int, z_1 double, z_2 double, y array<double>")
     first = placed.groupBy("cand", "strip").applyInPandas(own, f"{row}, {_NEAR}, lo int, hi int").persist()
     found = first.select("cand", "iid", "fold", "y", "near")
@@ -107,14 +111,15 @@ def knn_errors(t: Instances, n: int, planes: list[np.ndarray], k: int = 3, folds
         found = found.unionByName(more, allowMissingColumns=True).groupBy("cand", "iid").agg(F.max("fold").alias("fold"), F.max("y").alias("y"), F.flatten(F.collect_list("near")).alias("near"))
     found = found.select("cand", "fold", "y", F.slice(F.sort_array("near"), 1, k).alias("near")).where(F.size("near") > 0)
     guess = lambda j: F.aggregate("near", F.lit(0.0), lambda total, r: total + r["y"][j]) / F.size("near")
-    loss = found.groupBy("cand", "fold").agg(*[F.avg(F.pow(guess(j) - F.col("y")[j], F.lit(2.0))).alias(f"l{j}") for j in range(len(algos))])
+    lost = lambda j: ((guess(j) > 0.5) != (F.col("y")[j] > 0.5)).cast("double") if labelled else F.pow(guess(j) - F.col("y")[j], F.lit(2.0))
+    loss = found.groupBy("cand", "fold").agg(*[F.avg(lost(j)).alias(f"l{j}") for j in range(len(algos))])
     worst = F.greatest(F.lit(0.0), *[F.avg(f"l{j}") for j in range(len(algos))])
     got = {r["cand"]: r["worst"] for r in loss.groupBy("cand").agg(worst.alias("worst")).collect()}
     first.unpersist()
     return [got.get(c, np.inf) for c in range(len(planes))]
 
 
-def sift(t: Instances, rho: float = 0.1, p: float = 0.05, k: int = 6, tries: int = 100, most: int = 1000, population: int = 50, generations: int = 100, seed: int = 0) -> Sifted:
+def sift(t: Instances, rho: float = 0.1, p: float = 0.05, k: int = 6, tries: int = 100, most: int = 1000, evolution: Evolution = Evolution(), seed: int = 0) -> Sifted:
     """Correlation first; with more than three features left, and more than k, clusters and the search. Clusters and projections come from the Gram matrix; candidates of a generation are judged together over all full rows, equal ones once."""
     if len(t.features) <= 1:
         raise NotEnoughFeatureError("There must be more than one feature")
@@ -126,7 +131,7 @@ def sift(t: Instances, rho: float = 0.1, p: float = 0.05, k: int = 6, tries: int
     if len(t.features) <= max(3, k):
         return Sifted(t, t.features)
     cols, f = [*t.features, *t.algos], len(t.features)
-    full = t.with_df(t.df.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in cols]).isNull()).select("iid", *cols).persist())
+    full = t.with_df(t.df.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in cols]).isNull()).select("iid", *cols, *[c for c in map(good_name, t.algos) if c in t.df.columns]).persist())
     g, s, n = gram(full.df, cols)
     label = feature_clusters(g[:f, :f], k, tries, most, seed)
     groups = [np.flatnonzero(label == c) for c in range(k) if (label == c).any()]
@@ -144,10 +149,10 @@ def sift(t: Instances, rho: float = 0.1, p: float = 0.05, k: int = 6, tries: int
             known.update(zip(fresh, knn_errors(full, n, planes), strict=True))
         return [-known[c] for c in sets]
 
-    genes, fitness = genetic(judge, len(groups), int(max(map(len, groups))) * 1000, population, generations, seed=seed)
+    genes, fitness = genetic(judge, len(groups), int(max(map(len, groups))) * 1000, evolution, seed)
     picked = {t.features[int(g[v % len(g)])] for v, g in zip(genes, groups, strict=True)}
     chosen = tuple(f for f in t.features if f in picked)
-    sweep = tuple(silhouette_sweep(g[:f, :f], s[:f], n, tries=5, seed=seed))
+    sweep = tuple(silhouette_sweep(g[:f, :f], s[:f], n, seed=seed))
     full.df.unpersist()
     return Sifted(t.keep(features=list(chosen)), chosen, dict(zip(t.features, map(int, label), strict=True)), sweep, fitness)
 

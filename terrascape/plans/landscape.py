@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.learn import Evolution
 from ..operators import classify, clean, corners, footprints, label, project, scale, sift, subset
 from ..sources import metadata as meta
 from ..sources import options as opts
@@ -55,7 +56,8 @@ class Sift(Stage):
         s = options.sifted
         if not s.flag:
             return {"table": table, "sifted": sift.Sifted(table, table.features)}
-        found = sift.sift(table, s.rho, k=s.k, tries=s.replicates, most=s.max_iter, population=s.sol_per_pop, generations=s.num_generations)
+        how = Evolution(s.sol_per_pop, s.num_generations, s.num_parents_mating, s.parent_selection_type, s.k_tournament, s.keep_elitism, s.crossover_type, s.cross_over_probability, s.mutation_type, s.mutation_probability, s.stop_criteria)
+        found = sift.sift(table, s.rho, k=s.k, tries=s.replicates, most=s.max_iter, evolution=how)
         return {"table": found.table, "sifted": found}
 
 
@@ -81,7 +83,7 @@ class Choosing(Stage):
     def run(self, projected: Instances, options: Options) -> dict[str, Any]:
         t, z_stats = classify.znorm(projected)
         o = options.pythia
-        pred = classify.fit_predict(t, classify.Training(o.cv_folds, o.is_poly_krnl, o.use_weights, params=o.params)).persist()
+        pred = classify.fit_predict(t, classify.Training(o.cv_folds, o.is_poly_krnl, o.use_weights, params=o.params, bayes=not o.use_grid_search)).persist()
         return {"predictions": pred, "selections": classify.selections(pred), "svm_summary": classify.summary(t, pred, larger=options.perf.max_perf), "z_stats": z_stats}
 
 

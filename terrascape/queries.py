@@ -432,7 +432,7 @@ def m7_pilot_analytic(spark, d):
 @query()
 def m8_pilot_numeric(spark, d):
     t = _scaled(spark, d)
-    return project.numeric(t, tries=3).apply(t.df).select("iid", "z_1", "z_2")
+    return project.numeric(t).apply(t.df).select("iid", "z_1", "z_2")
 
 
 @query()
@@ -675,25 +675,31 @@ def a20_trace_summary(spark, d):
 @query()
 def m2_kmeans(spark, d):
     g, _, _ = project.gram(_scaled(spark, d).df, list(SF))
-    c = sift.feature_clusters(g, 3, tries=10)
+    c = sift.feature_clusters(g, 3)
     return spark.createDataFrame([(f, int(k)) for f, k in zip(SF, c, strict=True)], "feature string, cluster int")
 
 
 @query()
 def a22_silhouette(spark, d):
-    return spark.createDataFrame([(k, s) for k, s in enumerate(sift.silhouette_sweep(*project.gram(_scaled(spark, d).df, list(SF)), tries=5), 2)], "k int, silhouette double")
+    return spark.createDataFrame([(k, s) for k, s in enumerate(sift.silhouette_sweep(*project.gram(_scaled(spark, d).df, list(SF))), 2)], "k int, silhouette double")
 
 
 @query()
 def m4_ga(spark, d):
-    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4, tries=5)
+    s = sift.sift(_scaled(spark, d), rho=0.0, p=1.0, k=4)
     return spark.createDataFrame([(f,) for f in s.chosen], "feature string")
 
 
+@query()
+def m14_bayes(spark, d):
+    t, _ = classify.znorm(_fixed(_scaled(spark, d)))
+    return classify.fit_predict(t, classify.Training(bayes=True)).select("iid", "algo", "cv_good", "hat_good", "c", "gamma")
+
+
 @query()
 def m13_svm(spark, d):
     t, _ = classify.znorm(_fixed(_scaled(spark, d)))
-    return classify.fit_predict(t, classify.Training(grid=4)).select("iid", "algo", "cv_good", "hat_good")
+    return classify.fit_predict(t, classify.Training()).select("iid", "algo", "cv_good", "hat_good")
 
 
 _LIMITED = {f: f"greatest(m_{f} - 5 * i_{f}, least({f}, m_{f} + 5 * i_{f}))" for f in SF}

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from terrascape.functions import geometry as geo
 from terrascape.functions import learn
 from terrascape.operators import clean, footprints, label, project, sift, subset
 from terrascape.operators.label import Performance
@@ -180,6 +181,72 @@ def test_footprints_take_all_rows(spark):
     assert len(got.rings) == 2
 
 
+def test_tight_drops_slivers():
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    sliver = [(1.0, 0.0), (6.0, 0.0), (6.0, 0.02), (1.0, 0.02)]
+    away = [(10.0, 10.0), (11.0, 10.0), (10.5, 11.0)]
+    touching = [(0.0, 1.0), (-1.0, 2.0), (-1.0, 1.0)]
+    assert sorted(map(len, geo.parts([square, sliver, away, touching]))) == [1, 1, 2]
+    g = np.random.default_rng(3)
+    z = np.vstack([g.random((300, 2)), [[10.5, 10.4], [3.0, 0.01]]])
+    pieces, rings = footprints.tight([square, sliver, away], z, np.ones(len(z), bool), 0.55)
+    got = sum(map(geo.ring_area, pieces))
+    assert 0.8 < got < 1.06 and not geo.within(pieces, np.array([[10.5, 10.4], [5.0, 0.01]])).any() and rings
+    assert footprints.tight([], z, np.ones(len(z), bool), 0.55) == ([], [])
+
+
+@pytest.mark.parametrize("how", [{"selection": "rws"}, {"selection": "sus"}, {"selection": "rank", "crossover": "two_points"}, {"selection": "sss", "crossover": "single_point", "mutation": "swap"}, {"selection": "random", "mutation": "inversion"}, {"mutation": "scramble", "stop": "reach_0"}])
+def test_evolution_options(how):
+    asked = []
+
+    def fitness(pop):
+        asked.append(len(pop))
+        return [-float(sum((v - 7) ** 2 for v in s)) for s in pop]
+
+    best, value = learn.genetic(fitness, 3, 20, learn.Evolution(population=40, generations=60, elite=2, mutation_chance=0.3, **({"stop": "saturate_60"} | how)), seed=1)
+    assert value == -sum((v - 7) ** 2 for v in best) and value > -40
+    with pytest.raises(ValueError):
+        learn.Evolution(**{next(iter(how)): "none"})
+
+
+def test_bayes_search_climbs():
+    peak = lambda c, gamma: -((np.log2(c) - 1) ** 2 + (np.log2(gamma) + 3) ** 2)
+    c, gamma = learn.bayes_search(peak, 30, seed=2)
+    grid = max(peak(*p) for p in learn.search_grid(30, 2))
+    assert peak(c, gamma) >= grid and peak(c, gamma) > -0.5
+
+
+def test_order_statistics_narrow_their_brackets(spark, monkeypatch):
+    from terrascape.operators import scale
+
+    monkeypatch.setattr(scale, "GATHERED", 7)
+    g = np.random.default_rng(4)
+    data = {"even": g.normal(size=3000), "ties": np.repeat([1.0, 2.0, 5.0], 1000), "heavy": np.where(g.random(3000) < 0.7, 0.0, g.exponential(size=3000)), "wide": np.exp(g.normal(size=3000) * 40), "one": np.full(3000, 3.0)}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()], strict=True)), ", ".join(f"{c} double" for c in data)).repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.75, 1.0, 0.3333]
+    got = scale.order_statistics(df, list(data), shares)
+    for c, v in data.items():
+        v = np.sort(v)
+        assert got[c] == {q: (v[int(np.floor(2999 * q))], v[int(np.ceil(2999 * q))]) for q in shares}
+    assert scale.order_statistics(df.where("even > 1e9"), ["even"], [0.5]) == {"even": {0.5: None}}
+
+
+def test_clusters_like_the_kernel(spark):
+    from terrascape.operators import cluster
+
+    g = np.random.default_rng(8)
+    z = np.vstack([g.normal(size=(150, 2)) * 0.3, g.normal(size=(150, 2)) * 0.3 + 3, g.random((40, 2)) * 8 - 2])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "iid long, z_1 double, z_2 double")
+    got = {r["iid"]: r["cluster"] for r in cluster.dbscan(df, 0.4, 5).collect()}
+    near = np.linalg.norm(z[:, None] - z[None], axis=2) <= 0.4
+    core = near.sum(1) > 5
+    label = np.where(core, np.arange(len(z)), -1)
+    for _ in range(len(z)):
+        label = np.array([min(label[j] for j in np.flatnonzero(near[i] & core)) if core[i] else -1 for i in range(len(z))])
+    want = {i: (int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=None)) for i in range(len(z))}
+    assert got == want and len({c for c in got.values() if c is not None}) >= 2
+
+
 def test_search_judges_all_rows(spark):
     g, n = np.random.default_rng(5), 2500
     x = g.normal(size=(n, 5))
