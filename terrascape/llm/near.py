@@ -173,7 +173,7 @@ def reach(n: Column, m: Column, most: Column, percent: int) -> Column:
 def remaining(lists: DataFrame, percent: int) -> DataFrame:
     """a, b, each pair once: members of one list that belong to different components, one of them not to the list's main one, and that can still be linked.
 
-    lists: list, cls, n, s, root, i, j (common shingles with the list's two pivots, null if unknown). What two sets have in common is at most s of either, and at
+    lists: list, cls, n, s, before and after (shared values of the class before and after the list's), root, i, j (common shingles with the list's two pivots, null if unknown). What two sets have in common is at most s of either, and at
     most what they share within a pivot's set and beyond it. A pair meets in several lists; the first that both stand in gives it.
     """
     sizes = lists.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
@@ -189,8 +189,9 @@ def remaining(lists: DataFrame, percent: int) -> DataFrame:
 
     most = F.least("u_s", "v_s", within("i"), within("j"))
     apart = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_cls") < F.col("v_cls")))
+    can = F.least("u_before", "v_before") + 1 + F.least("u_after", "v_after") >= least_matches(percent)
     first = F.element_at(F.array_intersect("u_lists", "v_lists"), 1) == F.col("u_list")
-    rest = u.where("u_root != u_main").join(v, (F.col("u_list") == F.col("v_list")) & apart & reach(F.col("u_n"), F.col("v_n"), most, percent) & first)
+    rest = u.where("u_root != u_main").join(v, (F.col("u_list") == F.col("v_list")) & apart & reach(F.col("u_n"), F.col("v_n"), most, percent) & can & first)
     return rest.select(F.least("u_cls", "v_cls").alias("a"), F.greatest("u_cls", "v_cls").alias("b")).distinct()
 
 
@@ -199,7 +200,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
 
     Documents are posted under each coordinate-value pair. Values of one class only can't collide and are skipped; a pair
     shares at least least_matches coordinates only if it collides within both prefixes: the n - least_matches + 1 rarest of a
-    class's n shared values. A pair's common shingles are at most the s of either side, so most pairs within a large group
+    class's n shared values. All values stand in one order, so a collision tells how many more a pair can have before and after it; pairs that
+    can't reach least_matches go. The lists beyond the prefixes, which are the long ones, are skipped: the pairs that are left merge their two
+    signatures, which counts all of their collisions. A pair's common shingles are at most the s of either side, so most pairs within a large group
     of loose copies can't reach the threshold, and members that fit no partner leave their lists. In each list the members are paired with two
     pivots, one of them the member with the most widely shared shingles, and then only with what is left of other components:
     a list of copies makes few pairs and no link is lost.
@@ -208,8 +211,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     posted = nodes.select("cls", F.posexplode("sig").alias("at", "value"))
     counts = posted.groupBy("at", "value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     hot = posted.join(counts, ["at", "value"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "at", "value"))).alias("shared"))
-    hot = hot.where(F.size("shared") >= matches).select("cls", F.explode(F.slice("shared", F.lit(1), F.size("shared") - matches + 1)).alias("p"))
-    lists = stash.keep(hot.select((F.col("p.at").cast("long") * (1 << 32) + F.col("p.value")).alias("list"), "cls"), "postings")
+    hot = hot.where(F.size("shared") >= matches).select("cls", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - matches + 1)).alias("pos", "p"))
+    lists = stash.keep(hot.select((F.col("p.at").cast("long") * (1 << 32) + F.col("p.value")).alias("list"), "cls", F.col("pos").alias("before"), (F.col("m") - F.col("pos") - 1).alias("after")), "postings")
     wanted = stash.keep(lists.select("cls").distinct().join(nodes.select("cls", "doc_id", "text_key"), "cls").withColumnRenamed("doc_id", "digest"), "wanted")
     bare = wanted.where("digest IS NULL").select("cls", F.col("text_key").alias("digest"))  # classes whose rows all lack an id
     wanted = wanted.drop("text_key")
@@ -225,10 +228,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     least = lists.groupBy("list").agg(F.min("n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     lists = stash.keep(lists.join(least, "list").where(reach(F.col("n"), partner, F.least(F.col("s"), partner), percent)).drop("least"), "fit")
-    pivots = lists.groupBy("list").agg(F.min(F.struct("cls", "n", "s")).alias("low"), F.max(F.struct("fame", "cls", "n", "s")).alias("high"))
-    pivots = pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s").alias("high"))
+    pivots = lists.groupBy("list").agg(F.min(F.struct("cls", "n", "s", "before", "after")).alias("low"), F.max(F.struct("fame", "cls", "n", "s", "before", "after")).alias("high"))
+    pivots = pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s", "high.before", "high.after").alias("high"))
     lists = stash.keep(lists.drop("fame").join(pivots, "list"), "live")
-    starred = lists.select("cls", "n", "s", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s"), percent))
+    can = F.least("before", "p.before") + 1 + F.least("after", "p.after") >= matches
+    starred = lists.select("cls", "n", "s", "before", "after", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & can & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s"), percent))
     starred = starred.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
     sigs = nodes.select("cls", "sig")
 
@@ -240,7 +244,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     measured = stash.keep(confirm(stash.keep(collide(starred), "starred"), sets, percent), "measured")
     links = measured.where("linked").select("a", "b")
     roots = components(links, stash)
-    lists = lists.select("list", "cls", "n", "s", F.col("high.cls").alias("hub"), F.col("low.cls").alias("low"))
+    lists = lists.select("list", "cls", "n", "s", "before", "after", F.col("high.cls").alias("hub"), F.col("low.cls").alias("low"))
     lists = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     for pivot, common in (("hub", "i"), ("low", "j")):
         known = measured.select("a", "b", F.col("both").alias(common))
