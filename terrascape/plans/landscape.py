@@ -128,6 +128,11 @@ class Model:
 
         save_plot_tables(self, folder)
 
+    def save_mat(self, folder: str | Path) -> Path:
+        from ..operators.export import save_mat
+
+        return save_mat(self, folder)
+
     def save_zip(self, name: str, folder: str | Path) -> Path:
         from ..operators.export import save_zip
 

@@ -19,11 +19,14 @@ def session(cpus: str = "*", **conf: str) -> SparkSession:
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset a temporary one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: a temporary one in local mode, an error on a cluster, whose executors could not reach it."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='terrascape-')}")
-    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='terrascape-')}")
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:

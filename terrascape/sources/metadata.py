@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..session import durable
+
 
 @dataclass(frozen=True)
 class Instances:
@@ -32,7 +34,8 @@ class Instances:
 def from_dataframe(df: DataFrame, iid: str | None = None) -> Instances:
     """Roles by name, whatever the case: instances, source, feature_..., algo_...; other columns are left out; NaN becomes null.
 
-    iid: a column that orders the rows, else the position of the row in the scan.
+    iid: a column that orders the rows, else the position of the row in the scan; such numbers are kept once, so that
+    later scans agree on them.
     """
     lower = {c.lower(): c for c in df.columns}
     if "instances" not in lower:
@@ -43,7 +46,7 @@ def from_dataframe(df: DataFrame, iid: str | None = None) -> Instances:
     source = F.col(lower["source"]).cast("string") if "source" in lower else F.lit(None).cast("string")
     order = F.col(iid).cast("long") if iid else F.monotonically_increasing_id()
     out = df.select(order.alias("iid"), F.col(lower["instances"]).cast("string").alias("instances"), source.alias("source"), *[c.alias(n) for n, c in number.items()])
-    return Instances(out, tuple(features), tuple(algos))
+    return Instances(out if iid else durable(out), tuple(features), tuple(algos))
 
 
 def from_csv(spark: SparkSession, path: str) -> Instances | None:

@@ -8,6 +8,9 @@ from pathlib import Path
 from typing import Any
 
 
+# The names and defaults of the options below, and their other spellings, are the format of option files.
+
+
 @dataclass(frozen=True)
 class Parallel:
     flag: bool = False
@@ -147,7 +150,7 @@ def _group(name: str, kind: type, given: dict[str, Any]) -> Any:
         if at is None:
             unknown.append(key)
         elif at in values:
-            raise ValueError(f"Conflicting fields in JSON: '{at}' was defined twice")
+            raise ValueError(f"{name}: the option {at} is given more than once")
         else:
             values[at] = value
     if unknown:

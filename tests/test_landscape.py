@@ -1,5 +1,7 @@
 import json
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -80,7 +82,7 @@ def test_subsets(spark):
 def test_options(tmp_path):
     o = options.from_dict({"perf": {"MaxPerf": True, "_": "note"}, "selvars": {"type": "Ftr"}, "pythia": {"UseLibSVM": True}})
     assert o.perf.max_perf and o.selvars.selvars_type == "Ftr" and o.pythia.use_grid_search and o.sifted.k == 6
-    with pytest.raises(ValueError, match="defined twice"):
+    with pytest.raises(ValueError, match="more than once"):
         options.from_dict({"pilot": {"ntries": 3, "n_tries": 4}})
     with pytest.raises(ValueError):
         options.from_dict({"pilot": {"nope": 3}})
@@ -155,6 +157,17 @@ def test_whole_analysis(spark, tmp_path):
     model.save_to_csv(out)
     model.save_for_web(out)
     model.save_graphs(out)
+    drawn = (out / "distribution_portfolio.png").read_bytes()
+    size = int.from_bytes(drawn[16:20], "big")
+    assert drawn[:8] == b"\x89PNG\r\n\x1a\n" and b"Title\0distribution portfolio" in drawn
+    data = drawn[drawn.index(b"IDAT") + 4 :]
+    lines = np.frombuffer(zlib.decompressobj().decompress(data), np.uint8).reshape(size, 1 + 3 * size)[:, 1:].reshape(size, size, 3)
+    assert ((lines != 255).any(2) & (lines != 160).any(2)).sum() >= model.projected.df.count() and (out / "footprint_portfolio.png").exists()
+    mat = model.save_mat(out).read_bytes()
+    letters = mat.index(struct.pack("<II", 4, 2 * sum(len(a) - 5 for a in model.projected.algos)))
+    assert mat[:10] == b"MATLAB 5.0" and mat[124:128] == b"\x00\x01IM" and b"algolabels" in mat and (len(mat) - 128) % 8 == 0
+    names = np.frombuffer(mat[letters + 8 :], np.uint16, 2 * 0 + sum(len(a) - 5 for a in model.projected.algos)).reshape(len(model.projected.algos), -1, order="F")
+    assert ["".join(map(chr, r)) for r in names] == [a.removeprefix("algo_") for a in model.projected.algos]
     assert (out / "coordinates.csv").read_text().count("\n") == 91
     assert (out / "color_table.csv").read_text().count("\n") == 257
     assert model.save_zip("all", out).is_file()
@@ -181,6 +194,17 @@ def test_footprints_take_all_rows(spark):
     assert len(got.rings) == 2
 
 
+def test_nearest_distances(spark):
+    g = np.random.default_rng(9)
+    x = np.vstack([g.normal(size=(120, 4)), g.normal(size=(30, 4)) * 1e-3 + 50, [[1e4, 0, 0, 0]], [[3.0, 3, 3, 3]] * 2])
+    t = make(spark, [[*r, 0.0, 0.0] for r in x.tolist()], feats=4)
+    ids = [r["iid"] for r in t.df.orderBy("iid").collect()]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag(np.full(len(x), np.inf))
+    got = {r["iid"]: r["d"] for r in subset.nearest_distances(t).collect()}
+    assert [got[i] for i in ids] == pytest.approx(d.min(1))
+    assert subset.nearest_distances(make(spark, [(1.0, 2.0, 3.0, 4.0)])).count() == 0
+
+
 def test_tight_drops_slivers():
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     sliver = [(1.0, 0.0), (6.0, 0.0), (6.0, 0.02), (1.0, 0.02)]
