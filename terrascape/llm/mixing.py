@@ -9,7 +9,7 @@ from .store import Stash
 from .textkit import WORD
 
 #: Rows of one source that share one local window.
-BIN_ROWS = 20_000
+BIN_ROWS = 2000
 
 
 def text_size(text: Column) -> Column:
@@ -43,14 +43,15 @@ def targets(sizes: DataFrame, cycle: int = 3, most_epochs: int = 3) -> DataFrame
 def mix_sources(docs: DataFrame, stash: Stash, seed: str = "mix", bin_rows: int = BIN_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted) of each row of docs.
 
-    Documents get a hash-random key, each source is sorted by it in bins of about bin_rows rows, prefix sums are taken
+    Documents get a hash-random key of their id (of their text without one), each source is sorted by it in bins of about bin_rows rows, prefix sums are taken
     within bins and over bins, and each source is cut at its exact budget: whole epochs first, then a partial one whose
     last document is taken in part. No source, however large, meets in one task. A null source is a source of its own, the
     last; a null or empty text has size 0 and taken 0; rows that repeat are rows of their own, rows equal in key, id
     and size are interchangeable; an empty table gives an empty result; further columns of docs are not read.
     """
-    d = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    d = stash.keep(d, "sizes").withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    d = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("_key"))
+    d = stash.keep(d, "sizes")
     per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     rows = per_source.select(F.col("source").alias("_s"), "_rows")
     shares = stash.keep(targets(per_source.drop("_rows")).join(rows, F.col("_s").eqNullSafe(F.col("source"))).drop("source"), "targets")

@@ -12,7 +12,7 @@ FROM d JOIN g ON d.h = g.h
 SQL["op9_mix_sources"] = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w,
              (source_size * 3)::DOUBLE AS cap FROM s),
