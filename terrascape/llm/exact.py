@@ -128,9 +128,12 @@ def exact_groups(docs: DataFrame, stash: Stash, keep: str = "max", batches: int
 
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     numbered = rows.join(shared, "digest", "left").withColumn("_same", F.coalesce(F.col("n"), F.lit(1)))
-    # a repeated id can only be the one that stays; rows with that id are few, all others need no number
-    rival = numbered.where((F.col("_same") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("_no", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id")))
-    others = numbered.where(~((F.col("_same") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))).withColumn("_no", F.when(F.col("_same") == 1, 1).otherwise(2))
+    stays_ = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    others = numbered.where(F.col("n").isNull() | ~stays_).withColumn("_no", F.when(F.col("_same") == 1, 1).otherwise(2))
+    # a repeated id can only be the one that stays; rows with that id are few, all others need no number. They meet by digest and id, so that a large group stays spread
+    kept = shared.select(F.col("digest").alias("_d"), "keep_id", "n")
+    rival = rows.join(kept.hint("merge"), (F.col("digest") == F.col("_d")) & stays_).drop("_d").withColumn("_same", F.col("n"))
+    rival = rival.withColumn("_no", F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("text_sha256")))
     good = rival.unionByName(others).join(wrong, "digest", "left_anti").select(
         "doc_id", F.when(F.col("_same") == 1, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.col("_same").alias("group_size"), (F.col("_no") == 1).alias("kept"), "text_sha256")
