@@ -256,6 +256,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
     more = stash.keep(confirm(rest, sets, percent).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), stash)
+    stash.drop(sets, lists)
     return roots.withColumnRenamed("node", "cls")
 
 
