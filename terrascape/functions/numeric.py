@@ -8,39 +8,45 @@ from collections.abc import Callable
 import numpy as np
 
 
-def minimise_1d(f: Callable[[float], float], start: float = 0.0, step: float = 0.00025, tol: float = 1e-4, most: int = 200) -> float:
-    """Downhill simplex of two points: reflection, expansion, contraction, shrinking; ends when points and values are within tol."""
+def minimise_1d(f: Callable[[float], float], start: float = 0.0, step: float = 0.00025, tol: float = 1e-4, most: int = 200, ahead: Callable[[list[float]], None] = lambda points: None) -> float:
+    """Downhill simplex of two points: reflection, expansion, contraction, shrinking; ends when points and values are within tol. ahead: told the points that a step may ask for."""
+    ahead([start, start + step])
     pts = sorted([(f(start), start), (f(start + step), start + step)])
     for _ in range(most):
         (fb, b), (fw, w) = pts
         if abs(w - b) <= tol and abs(fw - fb) <= tol:
             break
-        r = 2 * b - w
+        r, e, out, into = 2 * b - w, 3 * b - 2 * w, 1.5 * b - 0.5 * w, 0.5 * b + 0.5 * w
+        ahead([r, e, out, into, b + 0.5 * (w - b)])
         fr = f(r)
         if fr < fb:
-            e = 3 * b - 2 * w
             fe = f(e)
             new = (fe, e) if fe < fr else (fr, r)
         else:
-            c = 1.5 * b - 0.5 * w if fr < fw else 0.5 * b + 0.5 * w
+            c = out if fr < fw else into
             fc = f(c)
             new = (fc, c) if (fc <= fr if fr < fw else fc < fw) else (f(b + 0.5 * (w - b)), b + 0.5 * (w - b))
         pts = sorted([(fb, b), new], key=lambda p: p[0])
     return pts[0][1]
 
 
-def boxcox_lambda(x: np.ndarray) -> float:
-    """Lambda of greatest likelihood for positive values."""
-    x = np.asarray(x, float)
-    logs = np.log(x)
-    n, s = len(x), logs.sum()
+def power_moments(logs: np.ndarray, lam: float) -> tuple[float, float]:
+    """Sum and sum of squares of x^lam / lam, less a constant, from the logarithms of x (the logarithms themselves at 0)."""
+    with np.errstate(all="ignore"):
+        y = logs if lam == 0 else np.expm1(lam * logs) / lam
+        return float(y.sum()), float((y * y).sum())
+
 
-    def loss(lam: float) -> float:
-        with np.errstate(all="ignore"):
-            var = np.var(logs) if lam == 0 else np.var(np.exp(lam * logs) / lam)
-        return math.inf if not var > 0 or not math.isfinite(var) else -((lam - 1) * s - n / 2 * math.log(var))
+def boxcox_loss(lam: float, n: int, logs: float, total: float, squares: float) -> float:
+    """Minus the log likelihood of lambda for n positive values: logs is the sum of their logarithms, total and squares are their power_moments."""
+    var = squares / n - (total / n) ** 2 if n else 0.0
+    return math.inf if not var > 0 or not math.isfinite(var) else -((lam - 1) * logs - n / 2 * math.log(var))
 
-    return minimise_1d(loss)
+
+def boxcox_lambda(x: np.ndarray) -> float:
+    """Lambda of greatest likelihood for positive values."""
+    logs = np.log(np.asarray(x, float))
+    return minimise_1d(lambda lam: boxcox_loss(lam, len(logs), float(logs.sum()), *power_moments(logs, lam)))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

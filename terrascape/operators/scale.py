@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import boxcox_lambda
+from ..functions.numeric import boxcox_loss, minimise_1d, power_moments
 from ..session import held
 from ..sources.metadata import Instances
 from .label import TINY
@@ -109,17 +111,55 @@ def shifted(c: str, low: float, add: float) -> Column:
     return F.col(c) - F.lit(float(low)) + F.lit(float(add))
 
 
-def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float, float]]) -> DataFrame:
-    """name, lambda of each column, shifted to be positive. Columns are fitted in parallel, one group a column."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), shifted(c, *shift[c]).alias("value")) for c in cols])).alias("v")).select("v.*").where("value IS NOT NULL")
+class _Ask(Exception):
+    """The points that a search wants to know."""
 
-    def fit(pdf):
-        import pandas as pd
 
-        x = pdf["value"].to_numpy()
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "lambda": [boxcox_lambda(x) if len(x) > 1 and x.min() < x.max() else 1.0]})
+def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Lambda of each column, shifted to be positive: the one of greatest likelihood, 1 where all values are equal.
 
-    return long.groupBy("name").applyInPandas(fit, "name string, lambda double")
+    The searches of all columns go on side by side. Each step is one pass over the rows where they are: the points that any of them may ask for next, as sums of powers by partition.
+    """
+    known: dict[str, dict[float, float]] = {c: {} for c in cols}
+    found: dict[str, float] = {}
+
+    def search(c: str) -> float:
+        def ahead(points: list[float]) -> None:
+            if missing := [p for p in points if p not in known[c]]:
+                raise _Ask(missing)
+
+        return minimise_1d(known[c].__getitem__, ahead=ahead)
+
+    while True:
+        asked = {}
+        for c in cols:
+            if c not in found:
+                try:
+                    found[c] = search(c)
+                except _Ask as ask:
+                    asked[c] = list(dict.fromkeys(ask.args[0]))
+        if not asked:
+            return found
+
+        def moments(batches, asked=asked):
+            sums = {(c, k): np.zeros(4) for c, points in asked.items() for k in range(len(points))}
+            for batch in batches:
+                for c, points in asked.items():
+                    x = batch.column(c).drop_null().to_numpy(zero_copy_only=False).astype(float)
+                    logs = np.log(x - shift[c][0] + shift[c][1])
+                    for k, lam in enumerate(points):
+                        sums[c, k] += (len(x), logs.sum(), *power_moments(logs, lam))
+            rows = [(c, k, *map(float, v)) for (c, k), v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["name", "k", "n", "logs", "total", "squares"])
+
+        got = df.select(*asked).mapInArrow(moments, "name string, k long, n double, logs double, total double, squares double")
+        for r in got.groupBy("name", "k").agg(*[F.sum(v).alias(v) for v in ("n", "logs", "total", "squares")]).collect():
+            lam = asked[r["name"]][r["k"]]
+            known[r["name"]][lam] = boxcox_loss(lam, r["n"], r["logs"], r["total"], r["squares"])
+        for c in asked:  # a column without rows, or with one value, has no likelihood
+            if len(known[c]) <= 2 and all(v == np.inf for v in known[c].values()):
+                found[c] = 1.0
+            known[c] |= {lam: np.inf for lam in asked[c] if lam not in known[c]}
 
 
 def normalise(t: Instances) -> tuple[Instances, DataFrame]:
@@ -132,7 +172,7 @@ def normalise(t: Instances) -> tuple[Instances, DataFrame]:
         row = raw.agg(*[F.min(c).alias(c) for c in cols]).first()
         low = min((row[a] for a in t.algos if row[a] is not None), default=0.0)
         shift = {c: (row[c] or 0.0, 1.0) for c in t.features} | dict.fromkeys(t.algos, (low, TINY))
-        lam = {r["name"]: r["lambda"] for r in boxcox_lambdas(raw, cols, shift).collect()}
+        lam = boxcox_lambdas(raw, cols, shift)
         raised = {c: boxcox(shifted(c, *shift[c]), lam.get(c, 1.0)) for c in cols}
         z, moments = zscores(raw.select(*[x.alias(c) for c, x in raised.items()]), cols)
     df = t.df.select(*[raised[c].alias(c) if c in raised else F.col(c) for c in t.df.columns])
