@@ -113,6 +113,13 @@ class Model:
         except KeyError:
             raise AttributeError(name) from None
 
+    def save(self, folder: str | Path) -> None:
+        """The files that the options' outputs ask for."""
+        o = self.options.outputs
+        for wanted, write in ((o.csv, self.save_to_csv), (o.web, self.save_for_web), (o.png, self.save_graphs)):
+            if wanted:
+                write(folder)
+
     def save_to_csv(self, folder: str | Path) -> None:
         from ..operators.export import save_csv
 
@@ -167,6 +174,9 @@ class Landscape:
     def run_until_stage(self, stage: type[Stage]) -> dict[str, Any]:
         return self.runner.run_until_stage(stage)
 
+    def run_many_stages_parallel(self, stages: list[type[Stage]]) -> dict[str, dict[str, Any]]:
+        return self.runner.run_many_stages_parallel(stages)
+
 
 def from_files(spark: SparkSession, table: str, options: str) -> Landscape | None:
     t, o = meta.from_csv(spark, table), opts.from_json(options)

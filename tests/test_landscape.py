@@ -1,6 +1,7 @@
 import json
 import random
 import struct
+import threading
 import zlib
 
 import numpy as np
@@ -129,6 +130,43 @@ def test_stages():
         StageBuilder().add_stage(A).add_stage(A)
 
 
+class First(Stage):
+    outputs, before = ("v",), (A,)
+
+    def run(self):
+        return {"v": 0}
+
+
+class Left(Stage):
+    inputs, outputs = ("y",), ("left",)
+
+    def run(self, y):
+        barrier.wait(timeout=20)
+        return {"left": y + 1}
+
+
+class Right(Stage):
+    inputs, outputs = ("y",), ("right",)
+
+    def run(self, y):
+        barrier.wait(timeout=20)
+        return {"right": y - 1}
+
+
+barrier = threading.Barrier(2)  # passed only by stages that run at the same time
+
+
+def test_stages_in_parallel():
+    waves = StageBuilder().add_stage(A).add_stage(Left).add_stage(Right).add_stage(First).resolve({"x"})
+    assert waves == [[First], [A], [Left, Right]]
+    r = StageRunner(waves, {"x": 1})
+    with pytest.raises(StageRunningError):
+        r.run_many_stages_parallel([Left, Right])
+    r.run_until_stage(A)
+    assert r.run_many_stages_parallel([Left, Right]) == {"Left": {"left": 3}, "Right": {"right": 1}}
+    assert r.arguments == {"x": 1, "v": 0, "y": 2, "left": 3, "right": 1}
+
+
 class Extra(Stage):
     inputs, outputs = ("table", "factor"), ("doubled",)
     after = (Preprocessing,)
@@ -154,9 +192,9 @@ def test_whole_analysis(spark, tmp_path):
     assert all(0 <= r.purity <= 1 and r.area >= 0 for r in model.footprints.collect())
     out = tmp_path / "out"
     out.mkdir()
-    model.save_to_csv(out)
     model.save_for_web(out)
-    model.save_graphs(out)
+    model.save(out)
+    assert (out / "coordinates.csv").exists()
     drawn = (out / "distribution_portfolio.png").read_bytes()
     size = int.from_bytes(drawn[16:20], "big")
     assert drawn[:8] == b"\x89PNG\r\n\x1a\n" and b"Title\0distribution portfolio" in drawn
