@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from .store import Stash
 from .textkit import buffers, grow, grow_sorted, mix, release, shrink, shrink_sorted, slices, word_hashes, words
 
 #: Text bytes of one chunk of documents, and of the counts that meet in one bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 #: Longest n-gram, how many words' worth of trust each context gives to the shorter context, and how often a context was seen that is a state.
 ORDER, TRUST, SUPPORT = 3, 8.0, 2
 #: Tokens that one lane of the walk takes; a longer text is walked by several lanes.
@@ -198,7 +199,7 @@ def _table(rows: list[tuple], names: str, kinds: tuple) -> pa.Table:
 
 def _told(right: pa.Table, k: int) -> np.ndarray:
     """Counts that came back for the distinct n-grams of length k, in their order."""
-    back = sorted((r for r in right.to_pylist() if r["k"] == k), key=lambda r: r["bucket"])
+    back = sorted(right.filter(pc.equal(right.column("k"), k)).to_pylist(), key=lambda r: r["bucket"])
     return np.concatenate([np.zeros(0, np.int64), *(grow(r["counts"]).astype(np.int64) for r in back)])
 
 
@@ -238,6 +239,7 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("held", held_out(F.col("doc_id"), parts)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    own = rows.repartition(chunks, "chunk").groupBy("chunk")  # as many tasks as chunks, so that no task's share grows with the input
     asked_schema, told_schema = "bucket int, chunk int, k int, grams binary, counts binary", "bucket int, chunk int, k int, counts binary, tokens long, kinds long"
 
     def ask(left: pa.Table, right: pa.Table | None, new: tuple[int, ...]) -> pa.Table:
@@ -272,10 +274,10 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
 
     def asked_for(new: tuple[int, ...], told: DataFrame | None) -> DataFrame:
         if told is None:
-            asked = rows.groupBy("chunk").applyInArrow(lambda left: ask(left, None, new), asked_schema)
+            asked = own.applyInArrow(lambda left: ask(left, None, new), asked_schema)
         else:
-            asked = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right, new), asked_schema)
-        return stash.keep(asked.groupBy("bucket").applyInArrow(answer, told_schema), f"counts-{new[-1]}")
+            asked = own.cogroup(told.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right, new), asked_schema)
+        return stash.keep(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, told_schema), f"counts-{new[-1]}")
 
     known = asked_for((1, 2), None)
     totals = known.where("chunk = -1").agg(F.sum("tokens"), F.sum("kinds")).first()
@@ -297,4 +299,4 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
         return pa.table(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
+    return own.cogroup(told.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(score, schema)
