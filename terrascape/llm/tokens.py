@@ -16,7 +16,7 @@ from .textkit import release
 #: Stands for a blank in pieces; what an unknown letter scores below the worst piece.
 BLANK, PENALTY = "▁", 10.0
 #: Segments that a task remembers before it starts anew, and the letters of one at most.
-REMEMBERED, SHORT = 200_000, 32
+REMEMBERED, SHORT = 500_000, 32
 #: Places of the dynamic programming that are held at once, beside those that a piece can reach back to.
 HELD = 1 << 14
 
@@ -56,25 +56,57 @@ class Counter:
             self.automaton.make_automaton()
 
     def segment(self, text: str) -> int:
-        """Pieces of a segment; of the places before, only those that a piece can reach back to are held."""
+        """Pieces of a segment."""
+        if len(text) > HELD:
+            return self._long_segment(text)
+        found: dict[int, list] = {}
+        for end, match in self.automaton.iter(text) if len(self.automaton) else ():
+            if end in found:
+                found[end].append(match)
+            else:
+                found[end] = [match]
+        best, count, odd = [0.0], [0], [False]
+        letters, unknown = self.letters, self.unknown
+        for end, letter in enumerate(text):  # as _step(), written out
+            top, n, strange = None, 0, False
+            if ending := found.get(end):
+                if len(ending) > 1:
+                    ending.sort(reverse=True)
+                for size, score in ending:
+                    total = best[end + 1 - size] + score
+                    if top is None or total > top:
+                        top, n = total, count[end + 1 - size] + 1
+            if letter not in letters and (top is None or best[-1] + unknown > top):
+                top, strange = best[-1] + unknown, True
+                n = count[-1] + (len(letter.encode("utf-8", "surrogatepass")) if self.bytewise else int(not odd[-1]))
+            best.append(top)
+            count.append(n)
+            odd.append(strange)
+        return count[-1]
+
+    def _step(self, letter: str, ending: list[tuple[int, float]] | tuple, best: list[float], count: list[int], odd: list[bool], end: int) -> tuple[float, int, bool]:
+        """Best score, pieces and whether the last letter is unknown, of the text up to place `end` of the lists; ending: pieces that end there."""
+        top, n, strange = None, 0, False
+        for size, score in ending if len(ending) < 2 else sorted(ending, reverse=True):
+            total = best[end - size] + score
+            if top is None or total > top:
+                top, n = total, count[end - size] + 1
+        if letter not in self.letters and (top is None or best[-1] + self.unknown > top):
+            top, strange = best[-1] + self.unknown, True
+            n = count[-1] + (len(letter.encode("utf-8", "surrogatepass")) if self.bytewise else int(not odd[-1]))
+        return top, n, strange
+
+    def _long_segment(self, text: str) -> int:
+        """The same, but of the places before only those that a piece can reach back to are held."""
         matches = iter(self.automaton.iter(text)) if len(self.automaton) else iter(())
         following = next(matches, None)
         best, count, odd, base = [0.0], [0], [False], 0  # of the places from base on
-        for end in range(1, len(text) + 1):
-            top, n, strange, ending = None, 0, False, []
-            while following is not None and following[0] + 1 == end:
+        for end, letter in enumerate(text):
+            ending = []
+            while following is not None and following[0] == end:
                 ending.append(following[1])
                 following = next(matches, None)
-            if len(ending) > 1:
-                ending.sort(reverse=True)
-            for size, score in ending:
-                total = best[end - size - base] + score
-                if top is None or total > top:
-                    top, n, strange = total, count[end - size - base] + 1, False
-            letter = text[end - 1]
-            if letter not in self.letters and (top is None or best[-1] + self.unknown > top):
-                top, strange = best[-1] + self.unknown, True
-                n = count[-1] + (len(letter.encode("utf-8", "surrogatepass")) if self.bytewise else int(not odd[-1]))
+            top, n, strange = self._step(letter, ending, best, count, odd, end + 1 - base)
             best.append(top)
             count.append(n)
             odd.append(strange)

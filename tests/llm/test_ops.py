@@ -469,6 +469,16 @@ def test_tokens_match_a_unigram_tokenizer(spark, rows, docs, empty):
     assert tokens.token_counts(empty, pieces, bytewise).count() == 0
 
 
+def test_long_segments_are_counted_as_short_ones(monkeypatch):
+    g = random.Random(3)
+    pieces = [("".join(g.choice("abc") for _ in range(g.randint(1, 5))), -float(g.randint(1, 9))) for _ in range(40)]
+    counter = tokens.Counter(list(dict(pieces).items()), True)
+    texts = ["".join(g.choice("abcd") for _ in range(g.choice([1, 5, 50, 400]))) for _ in range(60)]
+    want = [counter.segment(t) for t in texts]
+    monkeypatch.setattr(tokens, "HELD", 4)
+    assert [counter.segment(t) for t in texts] == want
+
+
 def labelled(n=400, seed=1):
     g = random.Random(seed)
     word = lambda: "".join(g.choice(["er", "th", "on", "an", "re", "st", "in", "ou", "ti"]) for _ in range(g.randint(1, 4)))
