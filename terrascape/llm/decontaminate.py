@@ -116,7 +116,7 @@ def _joined(begins: list[int], size: int) -> Iterator[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, block_letters: int = BLOCK_LETTERS, bare: bool = False) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of about block_letters letters, each of which fits a worker. Null texts are left out, null ids too unless bare (they count as 0)."""
+    """The benchmark's rows in blocks of about block_letters letters, each of which fits a worker and is held by the driver one at a time. Null texts are left out, null ids too unless bare (they count as 0)."""
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     known = known.fillna(0, ["item_id"]) if bare else known.where("item_id IS NOT NULL")
     letters = known.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -136,9 +136,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     """
     out = None
     for items in item_blocks(benchmark, block_letters):
+        held = docs.sparkSession.sparkContext.broadcast(items)  # one block
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = Search(items, rate, least)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            search = Search(held.value, rate, least)
             for batch in batches:
                 rows = [(d, *m) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in search.matches(text.as_py() or "")]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -157,9 +158,10 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     are searched whole, one at a time; the benchmark comes in blocks of block_letters, one pass over docs each.
     """
     for items in item_blocks(benchmark, block_letters, bare=True):
+        held = docs.sparkSession.sparkContext.broadcast(items)  # one block
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = Search(items, rate, least)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            search = Search(held.value, rate, least)
             for batch in batches:
                 clean = [not search.matches(text.as_py() or "") for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -225,21 +225,19 @@ class ToxicityModel:
         return cls(m["words"], np.array(m["beta"]), m["bias"], np.array(m["head"]))
 
     def word_scores(self, listed: list[str]) -> np.ndarray:
-        """What each word adds to its sentence: of its forms the one that adds most; 0 for words unlike all landmarks."""
+        """What each word adds to its sentence: of its forms the one that adds most; a form unlike all landmarks adds nothing."""
         out = np.zeros(len(listed))
         for i in range(0, len(listed), 20_000):
             shapes = [forms(w) for w in listed[i : i + 20_000]]
             owner = np.repeat(np.arange(len(shapes)), [len(f) for f in shapes])
             flat = [f for several in shapes for f in several]
+            add = np.zeros(len(flat))
             for j in range(0, len(flat), 40_000):
                 at, k = self.landmarks.kernel(flat[j : j + 40_000], LEAST)
-                if len(at):
-                    add, who = k @ self.beta, owner[j + at] + i
-                    low = np.flatnonzero(add < 0)
-                    np.minimum.at(out, who[low], add[low])
-                    top = np.full(len(out), -np.inf)
-                    np.maximum.at(top, who, add)
-                    out = np.where(top > -np.inf, np.where(top > 0, top, np.minimum(out, top)), out)
+                add[j + at] = k @ self.beta
+            best = np.full(len(shapes), -np.inf)
+            np.maximum.at(best, owner, add)
+            out[i : i + len(shapes)] = np.where(np.isfinite(best), best, 0)
         return out
 
     def margins(self, part: Sentences, seen: dict[int, float]) -> np.ndarray:
@@ -270,13 +268,19 @@ class ToxicityModel:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and offset of the probability, by Newton steps with a small penalty."""
-    x, w, t = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1), (y > 0).astype(float)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
-        w = w - np.linalg.solve(h, x.T @ (p - t) + RIDGE * w)
-    return w
+    """Weights, none below 0, and offset of the probability, by Newton steps with a small penalty; columns that would weigh less than 0 are left out."""
+    used, t = np.arange(x.shape[1]), (y > 0).astype(float)
+    while True:
+        z, w = np.c_[x[:, used], np.ones(len(x))], np.zeros(len(used) + 1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
+            w = w - np.linalg.solve(h, z.T @ (p - t) + RIDGE * w)
+        if not (w[:-1] < 0).any():
+            out = np.zeros(x.shape[1] + 1)
+            out[used], out[-1] = w[:-1], w[-1]
+            return out
+        used = np.delete(used, int(np.argmin(w[:-1])))
 
 
 class Bag:
