@@ -25,20 +25,34 @@ def within_reach(z: DataFrame, eps: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where(apart <= eps * eps).select("iid", "near")
 
 
+def _places(z: DataFrame) -> DataFrame:
+    """z_1, z_2, iid (the least), n of each distinct place, so that rows at one place, however many, are one."""
+    return z.where("z_1 IS NOT NULL AND z_2 IS NOT NULL").groupBy("z_1", "z_2").agg(F.min("iid").alias("iid"), F.count(F.lit(1)).alias("n"))
+
+
+def _back(z: DataFrame, places: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """iid and the column of every row, from those of its place; null where it has none."""
+    of = places.join(found, "iid", "left").select(F.col("z_1").alias("_1"), F.col("z_2").alias("_2"), column)
+    return z.join(of, (F.col("z_1") == F.col("_1")) & (F.col("z_2") == F.col("_2")), "left").select("iid", column)
+
+
 def degrees(z: DataFrame, eps: float) -> DataFrame:
-    """iid, degree: how many rows are within eps, the row itself included."""
-    return within_reach(z, eps).groupBy("iid").agg(F.count(F.lit(1)).alias("degree"))
+    """iid, degree: how many rows are within eps, the row itself included; rows without a place are left out."""
+    places = durable(_places(z))
+    near = within_reach(places, eps).join(places.select(F.col("iid").alias("near"), "n"), "near")
+    return _back(z, places, near.groupBy("iid").agg(F.sum("n").alias("degree")), "degree").where("degree IS NOT NULL")
 
 
 def dbscan(z: DataFrame, eps: float, k: int, most_rounds: int = 100) -> DataFrame:
-    """iid, cluster: the least iid of the core rows that are linked with the row's cluster; null for noise.
+    """iid, cluster: the least iid of the core rows that are linked with the row's cluster; null for noise and for rows without a place.
 
     Core rows have more than k rows within eps, themselves included. Cores within eps of each other share a cluster; another row within eps of a core belongs to the
     cluster with the least iid among those it touches. Labels spread along links and jump to their own label's label in rounds; it raises if they don't settle.
     """
-    pairs = durable(within_reach(z, eps))
-    core = pairs.groupBy("iid").count().where(F.col("count") > k).select("iid")
-    links = durable(pairs.join(core, "iid").join(core.withColumnRenamed("iid", "near"), "near"))
+    places = durable(_places(z))
+    pairs = durable(within_reach(places, eps).join(places.select(F.col("iid").alias("near"), "n"), "near"))
+    core = pairs.groupBy("iid").agg(F.sum("n").alias("degree")).where(F.col("degree") > k).select("iid")
+    links = durable(pairs.join(core, "iid").join(core.withColumnRenamed("iid", "near"), "near").select("iid", "near"))
     label = links.groupBy("iid").agg(F.min("near").alias("cluster"))
     for _ in range(most_rounds):
         label = durable(label)
@@ -48,6 +62,7 @@ def dbscan(z: DataFrame, eps: float, k: int, most_rounds: int = 100) -> DataFram
         if new.where("cluster != old").isEmpty():
             touched = pairs.join(new.select(F.col("iid").alias("near"), "cluster"), "near").groupBy("iid").agg(F.min("cluster").alias("cluster"))
             own = new.select("iid", F.col("cluster").alias("own"))
-            return z.select("iid").join(touched, "iid", "left").join(own, "iid", "left").select("iid", F.coalesce("own", "cluster").alias("cluster"))
+            found = touched.join(own, "iid", "left").select("iid", F.coalesce("own", "cluster").alias("cluster"))
+            return _back(z, places, found, "cluster")
         label = new.select("iid", "cluster")
     raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")

@@ -297,7 +297,7 @@ def test_clusters_like_the_kernel(spark):
     from terrascape.operators import cluster
 
     g = np.random.default_rng(8)
-    z = np.vstack([g.normal(size=(150, 2)) * 0.3, g.normal(size=(150, 2)) * 0.3 + 3, g.random((40, 2)) * 8 - 2])
+    z = np.vstack([g.normal(size=(150, 2)) * 0.3, g.normal(size=(150, 2)) * 0.3 + 3, g.random((40, 2)) * 8 - 2, np.full((60, 2), 6.0)])  # the last are one place
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "iid long, z_1 double, z_2 double")
     got = {r["iid"]: r["cluster"] for r in cluster.dbscan(df, 0.4, 5).collect()}
     near = np.linalg.norm(z[:, None] - z[None], axis=2) <= 0.4
