@@ -44,15 +44,14 @@ def degrees(z: DataFrame, eps: float) -> DataFrame:
 
 
 def dbscan(z: DataFrame, eps: float, k: int, most_rounds: int = 100) -> DataFrame:
-    """iid, cluster: the least iid of the core rows that are linked with the row's cluster; null for noise and for rows without a place.
+    """iid, cluster: the least iid of the row's cluster; null for noise and for rows without a place.
 
-    Core rows have more than k rows within eps, themselves included. Cores within eps of each other share a cluster; another row within eps of a core belongs to the
-    cluster with the least iid among those it touches. Labels spread along links and jump to their own label's label in rounds; it raises if they don't settle.
+    Core rows have more than k rows within eps, themselves included. Growth goes on through every row it reaches, so clusters are the parts of the eps graph that
+    hold a core row. Labels spread along links and jump to their own label's label in rounds; it raises if they don't settle.
     """
     places = durable(_places(z))
-    pairs = durable(within_reach(places, eps).join(places.select(F.col("iid").alias("near"), "n"), "near"))
-    core = pairs.groupBy("iid").agg(F.sum("n").alias("degree")).where(F.col("degree") > k).select("iid")
-    links = durable(pairs.join(core, "iid").join(core.withColumnRenamed("iid", "near"), "near").select("iid", "near"))
+    links = durable(within_reach(places, eps).join(places.select(F.col("iid").alias("near"), "n"), "near"))
+    core = links.groupBy("iid").agg((F.sum("n") > k).alias("core"))
     label = links.groupBy("iid").agg(F.min("near").alias("cluster"))
     for _ in range(most_rounds):
         label = durable(label)
@@ -60,9 +59,7 @@ def dbscan(z: DataFrame, eps: float, k: int, most_rounds: int = 100) -> DataFram
         jump = label.select(F.col("iid").alias("cluster"), F.col("cluster").alias("far"))
         new = durable(label.join(spread, "iid").join(jump, "cluster").select("iid", F.col("cluster").alias("old"), F.least("cluster", "other", "far").alias("cluster")))
         if new.where("cluster != old").isEmpty():
-            touched = pairs.join(new.select(F.col("iid").alias("near"), "cluster"), "near").groupBy("iid").agg(F.min("cluster").alias("cluster"))
-            own = new.select("iid", F.col("cluster").alias("own"))
-            found = touched.join(own, "iid", "left").select("iid", F.coalesce("own", "cluster").alias("cluster"))
-            return _back(z, places, found, "cluster")
+            alive = new.join(core, "iid").groupBy("cluster").agg(F.max("core").alias("core")).where("core").select("cluster")
+            return _back(z, places, new.join(alive, "cluster").select("iid", "cluster"), "cluster")
         label = new.select("iid", "cluster")
     raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")

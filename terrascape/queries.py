@@ -611,9 +611,9 @@ def j10_nearest(spark, d):
 
 
 @query(_ZQ + _K + f""", ep AS (SELECT {_EPS} AS eps), nb AS (SELECT a.iid, b.iid AS near FROM z a JOIN z b ON pow(a.z_1 - b.z_1, 2.0) + pow(a.z_2 - b.z_2, 2.0) <= (SELECT eps * eps FROM ep)),
-co AS (SELECT iid FROM nb GROUP BY iid HAVING count(*) > (SELECT k FROM k)), li AS (SELECT nb.* FROM nb JOIN co ON co.iid = nb.iid JOIN co c2 ON c2.iid = nb.near),
-cl AS (WITH RECURSIVE r(iid, c) AS (SELECT iid, iid FROM co UNION SELECT li.near, r.c FROM r JOIN li ON li.iid = r.iid WHERE r.c < li.near) SELECT iid, min(c) AS c FROM r GROUP BY iid)
-SELECT z.iid, coalesce(own.c, (SELECT min(cl.c) FROM nb JOIN cl ON cl.iid = nb.near WHERE nb.iid = z.iid)) AS cluster FROM z LEFT JOIN cl own ON own.iid = z.iid""", SUPPLIER)
+co AS (SELECT iid FROM nb GROUP BY iid HAVING count(*) > (SELECT k FROM k)),
+cl AS (WITH RECURSIVE r(iid, c) AS (SELECT iid, iid FROM z UNION SELECT nb.near, r.c FROM r JOIN nb ON nb.iid = r.iid WHERE r.c < nb.near) SELECT iid, min(c) AS c FROM r GROUP BY iid)
+SELECT cl.iid, CASE WHEN cl.c IN (SELECT c FROM cl JOIN co ON co.iid = cl.iid) THEN cl.c END AS cluster FROM cl""", SUPPLIER)
 def d6_dbscan(spark, d):
     z = _plane(spark, d)
     r = cluster.radius(z).first()
