@@ -170,7 +170,7 @@ def reach(n: Column, m: Column, most: Column, percent: int) -> Column:
     return 100 * most >= percent * (n + m - most)
 
 
-def remaining(lists: DataFrame, percent: int) -> DataFrame:
+def remaining(lists: DataFrame, stash: Stash, percent: int) -> DataFrame:
     """a, b, each pair once: members of one list that belong to different components, one of them not to the list's main one, and that can still be linked.
 
     lists: list, cls, n, s, before and after (shared values of the class before and after the list's), root, i, j (common shingles with the list's two pivots, null if unknown). What two sets have in common is at most s of either, and at
@@ -178,9 +178,10 @@ def remaining(lists: DataFrame, percent: int) -> DataFrame:
     """
     sizes = lists.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
     open_lists = sizes.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "members").alias("main")).where("roots > 1")
-    members = lists.join(open_lists.select("list", "main"), "list")
+    open_lists = stash.keep(open_lists.select("list", "main"), "open")
+    members = lists.join(open_lists, "list")
     stands = members.groupBy("cls").agg(F.sort_array(F.collect_set("list")).alias("lists"))  # at most COORDINATES
-    members = members.join(stands, "cls")
+    members = stash.keep(members.join(stands, "cls"), "members")
     u, v = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in "uv")
 
     def within(p: str) -> Column:
@@ -223,13 +224,14 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
         sets = sets.unionByName(full_sets(texts.join(bare.hint("merge"), "digest"), k).dropDuplicates(["cls"]))
     sets = stash.keep(sets, "sets")
 
-    lists = lists.join(shared_counts(sets, stash), "cls")
+    lists = stash.keep(lists.join(shared_counts(sets, stash), "cls"), "counted")
     # the smallest partner that a member can have is the list's smallest, or percent of its own size
-    least = lists.groupBy("list").agg(F.min("n").alias("least"))
+    # tables by list are written before they are joined: of a join of two plain shuffles, adaptive execution splits a list that is too long for one task
+    least = stash.keep(lists.groupBy("list").agg(F.min("n").alias("least")), "least")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     lists = stash.keep(lists.join(least, "list").where(reach(F.col("n"), partner, F.least(F.col("s"), partner), percent)).drop("least"), "fit")
     pivots = lists.groupBy("list").agg(F.min(F.struct("cls", "n", "s", "before", "after")).alias("low"), F.max(F.struct("fame", "cls", "n", "s", "before", "after")).alias("high"))
-    pivots = pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s", "high.before", "high.after").alias("high"))
+    pivots = stash.keep(pivots.select("list", "low", F.struct("high.cls", "high.n", "high.s", "high.before", "high.after").alias("high")), "pivots")
     lists = stash.keep(lists.drop("fame").join(pivots, "list"), "live")
     can = F.least("before", "p.before") + 1 + F.least("after", "p.after") >= matches
     starred = lists.select("cls", "n", "s", "before", "after", F.explode(F.array("low", "high")).alias("p")).where((F.col("cls") != F.col("p.cls")) & can & reach(F.col("n"), F.col("p.n"), F.least("s", "p.s"), percent))
@@ -251,7 +253,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, stash: Stash, k: int, percent:
         lists = lists.withColumn("a", F.least("cls", pivot)).withColumn("b", F.greatest("cls", pivot)).join(known, ["a", "b"], "left").drop("a", "b")
         lists = lists.withColumn(common, F.when(F.col("cls") == F.col(pivot), F.col("n")).otherwise(F.col(common)))
     lists = stash.keep(lists.drop("hub", "low"), "labelled")
-    rest = remaining(lists, percent)
+    rest = remaining(lists, stash, percent)
     rest = stash.keep(collide(rest.join(measured, ["a", "b"], "left_anti")), "rest")
     more = stash.keep(confirm(rest, sets, percent).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
