@@ -16,8 +16,8 @@ def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-#: Largest filter that is broadcast, in bytes; a larger one is joined by block.
-BROADCAST_BYTES = 8 << 20
+#: Largest filter that is broadcast, in bytes (a larger one is joined by block), and most shared digests that are.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 100_000
 
 
 class BitmapFilter:
@@ -127,7 +127,8 @@ def exact_groups(docs: DataFrame, stash: Stash, keep: str = "max", batches: int
     stash.drop(copies)
 
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
-    numbered = rows.join(shared, "digest", "left").withColumn("_same", F.coalesce(F.col("n"), F.lit(1)))
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    numbered = rows.join(few, "digest", "left").withColumn("_same", F.coalesce(F.col("n"), F.lit(1)))
     stays_ = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     others = numbered.where(F.col("n").isNull() | ~stays_).withColumn("_no", F.when(F.col("_same") == 1, 1).otherwise(2))
     # a repeated id can only be the one that stays; rows with that id are few, all others need no number. They meet by digest and id, so that a large group stays spread
