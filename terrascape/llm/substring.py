@@ -170,7 +170,7 @@ class WindowIndex:
                     out += [(*r.values(), None, None, None) for r in b.to_pylist()]
             return _merged(out)
 
-        found = self.stash.keep(history.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, _MERGED), "merged", by="run")
+        found = self.stash.keep(history.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(merge, _MERGED), "merged", by="run")
         if flush:
             self.runs.append(self.stash.part(found, "run", "true").withColumn("run", F.lit(True)))
             self.runs[-1]._stash_path = f"{found._stash_path}/run=true"
@@ -196,7 +196,7 @@ class WindowIndex:
         def merge(table: pa.Table) -> pa.Table:
             return pa.Table.from_batches(list(entries(*read_entries(table, True), buckets, True)))
 
-        self.runs = [self.stash.keep(both.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, ENTRY), "run")]
+        self.runs = [self.stash.keep(both.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(merge, ENTRY), "run")]
         self.stash.drop(*old)
 
 
@@ -292,7 +292,7 @@ def _judge(docs: DataFrame, hits: DataFrame, k: int, chunks: int, exact: DataFra
     right = hits.select("chunk", "hits", "first", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("words"), F.lit(None).cast("long").alias("least"))
     if exact is not None:
         right = right.unionByName(exact.select("chunk", "fp", "words", "least"), allowMissingColumns=True)
-    return left.repartition(chunks, "chunk").groupBy("chunk").cogroup(right.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(join, _RESULT)
+    return left.repartitionById(chunks, F.col("chunk")).groupBy("chunk").cogroup(right.repartitionById(chunks, F.col("chunk")).groupBy("chunk")).applyInArrow(join, _RESULT)
 
 
 def _said(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, k: int) -> str:
