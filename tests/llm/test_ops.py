@@ -63,6 +63,16 @@ def norm(x):
     return sorted(map(str, x))
 
 
+def test_stash_keeps_parts_and_drops(spark):
+    stash = Stash(spark, "t")
+    kept = stash.keep(spark.createDataFrame([(1, True), (2, True), (3, False)], "a int, run boolean"), "x", by="run")
+    runs = stash.part(kept, "run", "true")
+    assert sorted(r.a for r in runs.collect()) == [1, 2] and stash.part(kept, "run", "none").count() == 0
+    stash.drop(runs)
+    assert stash.part(kept, "run", "true").count() == 0 and stash.part(kept, "run", "false").collect()[0].a == 3
+    assert stash.root.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix_sources(docs, Stash(spark, "t"), bin_rows=4).collect()
     assert norm((r.doc_id, r.source, r.size) for r in got) == norm((i, s, len(split(t))) for i, t, s in rows)
