@@ -239,7 +239,7 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("held", held_out(F.col("doc_id"), parts)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    own = rows.repartition(chunks, "chunk").groupBy("chunk")  # as many tasks as chunks, so that no task's share grows with the input
+    own = rows.repartitionById(chunks, F.col("chunk")).groupBy("chunk")  # a task a chunk, so that no task's share grows with the input
     asked_schema, told_schema = "bucket int, chunk int, k int, grams binary, counts binary", "bucket int, chunk int, k int, counts binary, tokens long, kinds long"
 
     def ask(left: pa.Table, right: pa.Table | None, new: tuple[int, ...]) -> pa.Table:
@@ -276,8 +276,8 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
         if told is None:
             asked = own.applyInArrow(lambda left: ask(left, None, new), asked_schema)
         else:
-            asked = own.cogroup(told.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right, new), asked_schema)
-        return stash.keep(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, told_schema), f"counts-{new[-1]}")
+            asked = own.cogroup(told.repartitionById(chunks, F.col("chunk")).groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right, new), asked_schema)
+        return stash.keep(asked.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(answer, told_schema), f"counts-{new[-1]}")
 
     known = asked_for((1, 2), None)
     totals = known.where("chunk = -1").agg(F.sum("tokens"), F.sum("kinds")).first()
@@ -299,4 +299,4 @@ def lm_scores(docs: DataFrame, stash: Stash, parts: int = 5, order: int = ORDER,
         return pa.table(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.cogroup(told.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(score, schema)
+    return own.cogroup(told.repartitionById(chunks, F.col("chunk")).groupBy("chunk")).applyInArrow(score, schema)
