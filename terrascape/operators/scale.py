@@ -12,10 +12,12 @@ from ..session import held
 from ..sources.metadata import Instances
 from .label import TINY
 
-#: Values that are gathered for one order statistic at most; a wider bracket is narrowed first.
-GATHERED = 4096
+#: Values that are gathered of one bracket at most; a wider one is narrowed first.
+GATHERED = 16_384
 #: Share of a bracket on either side of a place that approximate quantiles leave open.
 OPEN = 0.002
+#: Tasks of one pass of power sums at most; each gives a few rows for the driver to add up.
+TASKS = 4096
 
 
 def order_statistics(df: DataFrame, cols: list[str], shares: list[float]) -> dict[str, dict[float, tuple[float, float] | None]]:
@@ -39,14 +41,16 @@ def order_statistics(df: DataFrame, cols: list[str], shares: list[float]) -> dic
         within = lambda key: F.when(F.col(cols[key[0]]).between(open_[key][0], open_[key][1]), F.col(cols[key[0]]))
         read = [key for key in keys if open_[key][3] <= GATHERED]
         cut = [key for key in keys if key not in read]
-        aggs = [F.sort_array(F.collect_list(within(key))).alias(f"v{k}") for k, key in enumerate(read)]
+        bracket = {key: (key[0], *open_[key][:2]) for key in read}  # several places can be in one
+        shared = {b: (k, key) for k, (key, b) in enumerate(bracket.items())}
+        aggs = [F.sort_array(F.collect_list(within(key))).alias(f"v{k}") for k, key in shared.values()]
         for k, key in enumerate(cut):
             lo, hi, below, inside, quick = open_[key]
             at = (key[1] - below) / inside
             if quick:
                 aggs.append(F.percentile_approx(within(key), [max(0.0, at - OPEN), min(1.0, at + OPEN)], 10_000).alias(f"e{k}"))
         row = df.agg(*aggs).first() if aggs else None
-        found |= {key: row[f"v{k}"][key[1] - open_[key][2]] for k, key in enumerate(read)}
+        found |= {key: row[f"v{shared[bracket[key]][0]}"][key[1] - open_[key][2]] for key in read}
         for k, key in enumerate(cut):
             lo, hi, *_, quick = open_[key]
             narrow[key] = tuple(row[f"e{k}"]) if quick else (lo, min(hi, max(lo, lo / 2 + hi / 2)))
@@ -152,10 +156,12 @@ def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float,
             rows = [(c, k, *map(float, v)) for (c, k), v in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["name", "k", "n", "logs", "total", "squares"])
 
-        got = df.select(*asked).mapInArrow(moments, "name string, k long, n double, logs double, total double, squares double")
-        for r in got.groupBy("name", "k").agg(*[F.sum(v).alias(v) for v in ("n", "logs", "total", "squares")]).collect():
-            lam = asked[r["name"]][r["k"]]
-            known[r["name"]][lam] = boxcox_loss(lam, r["n"], r["logs"], r["total"], r["squares"])
+        got = df.select(*asked).coalesce(TASKS).mapInArrow(moments, "name string, k long, n double, logs double, total double, squares double")
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for name, k, *v in got.collect():  # a row a task, column and point
+            sums[name, k] = sums.get((name, k), 0) + np.array(v)
+        for (name, k), v in sums.items():
+            known[name][asked[name][k]] = boxcox_loss(asked[name][k], *map(float, v))
         for c in asked:  # a column without rows, or with one value, has no likelihood
             if len(known[c]) <= 2 and all(v == np.inf for v in known[c].values()):
                 found[c] = 1.0
