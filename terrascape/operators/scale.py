@@ -122,8 +122,12 @@ class _Ask(Exception):
 def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float, float]]) -> dict[str, float]:
     """Lambda of each column, shifted to be positive: the one of greatest likelihood, 1 where all values are equal.
 
-    The searches of all columns go on side by side. Each step is one pass over the rows where they are: the points that any of them may ask for next, as sums of powers by partition.
+    The searches of all columns go on side by side. Each step is one pass over the rows where they are: the points that any of them may ask for next, as sums of powers by
+    partition. All searches begin alike, with growing steps up or down, so the points of both ways are in the first pass.
     """
+    opening: set[float] = set()
+    for sign in (1, -1):
+        minimise_1d(lambda x, sign=sign: sign * x, most=14, ahead=opening.update)
     known: dict[str, dict[float, float]] = {c: {} for c in cols}
     found: dict[str, float] = {}
 
@@ -141,7 +145,7 @@ def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float,
                 try:
                     found[c] = search(c)
                 except _Ask as ask:
-                    asked[c] = list(dict.fromkeys(ask.args[0]))
+                    asked[c] = sorted(opening) if not known[c] else list(dict.fromkeys(ask.args[0]))
         if not asked:
             return found
 
@@ -163,7 +167,7 @@ def boxcox_lambdas(df: DataFrame, cols: list[str], shift: dict[str, tuple[float,
         for (name, k), v in sums.items():
             known[name][asked[name][k]] = boxcox_loss(asked[name][k], *map(float, v))
         for c in asked:  # a column without rows, or with one value, has no likelihood
-            if len(known[c]) <= 2 and all(v == np.inf for v in known[c].values()):
+            if known[c].get(0.0, np.inf) == np.inf:
                 found[c] = 1.0
             known[c] |= {lam: np.inf for lam in asked[c] if lam not in known[c]}
 
